@@ -205,25 +205,25 @@ def unscaled_difference(spark, folder):
 
 
 @query("f17_levels", """
-    SELECT series_id, ts, round(first_value(value) OVER (PARTITION BY series_id ORDER BY ts) + sum(d) OVER (PARTITION BY series_id ORDER BY ts), 2) AS level
+    SELECT series_id, ts, round(first_value(value) OVER (PARTITION BY series_id ORDER BY ts) + sum(d) OVER (PARTITION BY series_id ORDER BY ts), 4) AS level
     FROM (SELECT *, coalesce(0.5 * (value - lag(value) OVER (PARTITION BY series_id ORDER BY ts)), 0) AS d FROM daily)""", DAYS)
 def levels(spark, folder):
     rows = features.with_difference(daily_orders(spark, folder), PANEL, "value", "d")
     start = rows.where(F.col("pos") == 0).select("series_id", F.col("value").alias("start"))
     halved = rows.join(start, "series_id").withColumn("d", F.coalesce(0.5 * F.col("d"), F.lit(0.0)))
     out = features.levels_from_differences(halved, PANEL, "d", "start", "level")
-    return rounded(out, 2, "level").select("series_id", "ts", "level")
+    return rounded(out, 4, "level").select("series_id", "ts", "level")
 
 
 @query("f17_one_step_levels", """
-    SELECT series_id, ts, round(l1 + 0.25 * (l1 - l2), 3) AS level FROM (
+    SELECT series_id, ts, round(l1 + 0.25 * (l1 - l2), 5) AS level FROM (
       SELECT series_id, ts, lag(value) OVER w AS l1, lag(value, 2) OVER w AS l2 FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts))""", DAYS)
 def one_step_levels(spark, folder):
     from seriesloom.operators.features import with_lags
 
     rows = with_lags(daily_orders(spark, folder), PANEL, 2, drop_incomplete=False)
     rows = rows.withColumn("d", 0.25 * (F.col("lag_1") - F.col("lag_2")))
-    return rounded(features.one_step_levels(rows, PANEL, "d", "level"), 3, "level").select("series_id", "ts", "level")
+    return rounded(features.one_step_levels(rows, PANEL, "d", "level"), 5, "level").select("series_id", "ts", "level")
 
 
 @query("f17_shipment_totals", "SELECT pos, sum(value) OVER (ORDER BY pos) AS total FROM shipments", "shipments")
