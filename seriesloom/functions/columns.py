@@ -52,3 +52,9 @@ def dot(betas: Column | str, xs: list[Column | str]) -> Column:
     """Inner product of a coefficient array with columns, as plain arithmetic."""
     betas = _col(betas)
     return reduce(lambda a, b: a + b, [betas[i] * _col(x) for i, x in enumerate(xs)])
+
+
+def weighted_sum(betas: Column | str, xs: Column | str) -> Column:
+    """Inner product of two arrays of the same length."""
+    products = F.zip_with(_col(betas), _col(xs), lambda b, x: b * x)
+    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)

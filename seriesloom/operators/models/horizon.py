@@ -2,27 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators import scale
+from seriesloom.operators.gram import gram, regress_many
+from seriesloom.operators.merge import merge_overlaps
+from seriesloom.operators.position import over_blocks
 from seriesloom.operators.windows import supervised_windows, unrolled
+from seriesloom.session import cut_lineage
+from seriesloom.sources.resample import step_after
 from seriesloom.spec import SeriesSpec
 
 
 def horizon_windows(df: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int = 1) -> DataFrame:
-    """Rolling windows with the target's history ``x``, its next values ``y`` and their times ``when``."""
+    """Rolling windows with the target's history ``x``, its next values ``y`` and their times."""
     timed = df.withColumn("_when", F.unix_micros(F.col(spec.time).cast("timestamp")).cast("double"))
     wide = supervised_windows(timed, spec.using(features=("_when",)), seq_len, pred_len, step)
     return wide.select(*spec.keys, "origin", "n", "x", "y")
 
 
+def _steps(windows: DataFrame, spec: SeriesSpec, seq_len: int, keep: list[str]) -> DataFrame:
+    """One row per window and horizon step, stamped with the time it forecasts."""
+    steps = unrolled(windows, [*spec.keys, "origin", *keep], "y", ["y_true", "_when"])
+    moment = F.timestamp_micros(F.col("_when").cast("bigint")).cast("timestamp_ntz")
+    return steps.select(
+        *spec.keys, "origin", (F.col("step") + 1).alias("step"), moment.alias(spec.time),
+        (F.col("origin") + seq_len + F.col("step")).alias("pos"), "y_true", *keep,
+    )
+
+
 def flat_forecast(df: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int | None = None) -> DataFrame:
     """The last value of each rolling window for all steps of its horizon."""
     windows = horizon_windows(df, spec, seq_len, pred_len, step or pred_len)
     last = F.element_at(F.element_at("x", -1), 1)
-    steps = unrolled(windows.withColumn("_yhat", last), [*spec.keys, "origin", "_yhat"], "y", ["y_true", "_when"])
-    moment = F.timestamp_micros(F.col("_when").cast("bigint")).cast("timestamp_ntz")
-    return steps.select(
-        *spec.keys, "origin", (F.col("step") + 1).alias("step"), moment.alias(spec.time),
-        (F.col("origin") + seq_len + F.col("step")).alias("pos"), "y_true", F.col("_yhat").alias("yhat"),
+    return _steps(windows.withColumn("yhat", last), spec, seq_len, ["yhat"])
+
+
+def fit_horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: int = 24, penalty: float = 1.0) -> DataFrame:
+    """Scaler and one coefficient array per horizon step (intercept, oldest to newest value) per series.
+
+    Needs ``pos`` and ``phase``; only windows whose whole horizon is training are used.
+    """
+    keys = list(spec.keys)
+    scaler = cut_lineage(scale.fit_scaler(df, spec, [spec.value]))
+    xs = [f"x_{i}" for i in range(seq_len - 1, -1, -1)]
+    ys = [f"y_{h}" for h in range(1, pred_len + 1)]
+
+    def look(w):
+        past = {f"x_{i}": F.lag(spec.value, i).over(w) for i in range(seq_len - 1, -1, -1)}
+        return past | {f"y_{h}": F.lead(spec.value, h).over(w) for h in range(1, pred_len + 1)}
+
+    train = scale.scale(df.where(F.col("phase") == "train"), scaler, spec, [spec.value])
+    rows = over_blocks(train.select(*keys, "pos", spec.value), spec, look, before=seq_len - 1, after=pred_len)
+    grams = gram(rows.withColumn("one", F.lit(1.0)), keys, ["one", *xs, *ys])
+    fitted = regress_many(grams, keys, ["one", *xs, *ys], ["one", *xs], ys, penalty)
+    return cut_lineage(fitted.select(*keys, "betas").join(scaler, keys))
+
+
+def _forecasts(x: str, value: str) -> Column:
+    """One forecast per coefficient array, from the scaled flat window, in the units of the target."""
+    mean, spread = F.col(f"{value}_mean"), F.col(f"{value}_std")
+    scaled = F.transform(x, lambda v: (v - mean) / spread)
+    inputs = F.concat(F.array(F.lit(1.0)), scaled)
+
+    def one_step(b: Column) -> Column:
+        return F.aggregate(F.zip_with(b, inputs, lambda p, q: p * q), F.lit(0.0), lambda a, c: a + c) * spread + mean
+
+    return F.transform("betas", one_step)
+
+
+def predict_rolling(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int = 1) -> DataFrame:
+    """Forecasts of all rolling windows, one row per window and horizon step."""
+    windows = horizon_windows(df, spec, seq_len, pred_len, step).join(params, list(spec.keys))
+    history = F.transform("x", lambda cell: cell[0])
+    windows = windows.withColumn("_x", history).withColumn("_f", _forecasts("_x", spec.value))
+    steps = _steps(windows, spec, seq_len, ["_f"])
+    return steps.withColumn("yhat", F.element_at("_f", F.col("step"))).drop("_f")
+
+
+def rolling_forecast(
+    df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int | None = None, mode: str = "overwrite"
+) -> DataFrame:
+    """One forecast per time from windows every ``step`` rows (default: the horizon)."""
+    return merge_overlaps(predict_rolling(df, params, spec, seq_len, pred_len, step or pred_len), spec, mode)
+
+
+def segment_forecast(
+    df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int,
+    calibration: tuple[float, float] | None = None, residual: DataFrame | None = None,
+) -> DataFrame:
+    """Strict mean over the windows from every row, optionally scaled and corrected per window before."""
+    from seriesloom.operators.post import apply_residual, linear
+
+    rows = predict_rolling(df, params, spec, seq_len, pred_len)
+    if calibration:
+        rows = rows.withColumn("yhat", linear("yhat", *calibration))
+    if residual is not None:
+        rows = apply_residual(rows, residual, spec, "yhat")
+    return merge_overlaps(rows, spec, "strict_mean")
+
+
+def dense_last(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, k: int) -> DataFrame:
+    """One-step forecasts of the last ``k`` rows of each series; ``params`` have one horizon step."""
+    needed = df.where(F.col("pos") >= F.col("n") - k - seq_len)
+    rows = predict_rolling(needed, params, spec, seq_len, 1)
+    sizes = df.groupBy(*spec.keys).agg(F.max("n").alias("n"))
+    return rows.join(sizes, list(spec.keys)).where(F.col("pos") >= F.col("n") - k).drop("n", "origin", "step")
+
+
+def predict_next(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, grid: str) -> DataFrame:
+    """The horizon after the last row of each series, from its last ``seq_len`` values; needs ``pos`` and ``n``."""
+    last = df.where(F.col("pos") >= F.col("n") - seq_len)
+    windows = last.groupBy(*spec.keys).agg(
+        F.max(spec.time).alias("_end"),
+        F.array_sort(F.collect_list(F.struct("pos", spec.value)))[spec.value].alias("_x"),
     )
+    whole = windows.where(F.size("_x") == seq_len).join(params, list(spec.keys))
+    steps = whole.select(*spec.keys, "_end", F.posexplode(_forecasts("_x", spec.value)).alias("_i", "yhat"))
+    steps = steps.withColumn("step", F.col("_i") + 1)
+    return steps.select(*spec.keys, "step", step_after("_end", "step", grid).alias(spec.time), "yhat")
