@@ -1 +1,381 @@
-"""."""
+"""Fitted models and their forecasts."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from seriesloom.operators import features, metrics, scale
+from seriesloom.operators.gram import gram, regress
+from seriesloom.operators.models import ar, delta, dispatch, forest, horizon, trend
+from seriesloom.operators.models.naive import naive_forecast
+from seriesloom.operators.post import fit_residual
+from seriesloom.operators.position import with_pos
+from seriesloom.operators.split import phase_from_head
+from seriesloom.plans.frames import fixed_forecast, phased
+from seriesloom.plans.linear_sql import cells, inner, lags, least_squares, rss, solution
+from seriesloom.plans.registry import DAYS, FC, PHASED, SCALED, query, rounded
+from seriesloom.sources.series import EVENTS, PANEL, SHIPMENTS, daily_events, daily_orders, hourly_users, orders_by_day, shipments
+
+TARGET = PANEL.using(features=())
+LAGS3 = ["lag_1", "lag_2", "lag_3"]
+
+
+def scaled_days(spark, folder):
+    rows = phased(spark, folder).drop("n_orders")
+    return scale.scale(rows, scale.fit_scaler(rows, TARGET), TARGET)
+
+
+AR3 = f"""
+    WITH design AS (SELECT * FROM (
+      SELECT series_id, ts, pos, n, phase, z, [1, {lags('z', 3)}, z] AS x FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+      WHERE pos >= 3),
+    train AS (SELECT * FROM design WHERE phase = 'train')"""
+
+
+@query("m01_gram", AR3 + "," + cells("train", "series_id", "f") + """
+    SELECT series_id, n, (i - 1) * 5 - (i - 1) * (i - 2) // 2 + (j - i) AS cell, round(g, 6) + 0.0 AS g FROM f_c WHERE i <= j""", SCALED)
+def m_gram(spark, folder):
+    rows = ar.lag_rows(scaled_days(spark, folder).where("phase = 'train'"), TARGET, 3)
+    summed = gram(rows, ["series_id"], ["one", *LAGS3, "value"])
+    return rounded(summed.select("series_id", "n", F.posexplode("cells").alias("cell", "g")), 6, "g")
+
+
+@query("m01_least_squares", AR3 + "," + least_squares("train", "series_id", "f") + "," + rss("series_id", "f") + """
+    SELECT series_id, n, round(b[1], 8) + 0.0 AS b0, round(b[2], 8) + 0.0 AS b1, round(b[3], 8) + 0.0 AS b2, round(b[4], 8) + 0.0 AS b3,
+           round(rss, 6) AS rss FROM f JOIN f_e USING (series_id)""", SCALED)
+def m_least_squares(spark, folder):
+    rows = ar.lag_rows(scaled_days(spark, folder).where("phase = 'train'"), TARGET, 3)
+    columns = ["one", *LAGS3, "value"]
+    fitted = regress(gram(rows, ["series_id"], columns), ["series_id"], columns, columns[:-1], "value")
+    return fitted.select("series_id", "n", *[F.round(F.col("betas")[i], 8).alias(f"b{i}") for i in range(4)], F.round("rss", 6).alias("rss"))
+
+
+@query("m01_ridge_on_shipments", f"""
+    WITH moved AS (SELECT pos, value / 50 AS v FROM shipments),
+    design AS (SELECT * FROM (SELECT pos, 'shipments' AS series_id, [1, {lags('v', 3)}, v] AS x FROM moved WINDOW w AS (ORDER BY pos)) WHERE pos >= 3),
+    """ + least_squares("design", "series_id", "f", "10") + """
+    SELECT series_id, round(b[1], 8) + 0.0 AS b0, round(b[2], 8) + 0.0 AS b1, round(b[3], 8) + 0.0 AS b2, round(b[4], 8) + 0.0 AS b3 FROM f""", "shipments")
+def m_ridge_on_shipments(spark, folder):
+    rows = with_pos(shipments(spark, folder), SHIPMENTS).select("series_id", "pos", (F.col("value") / 50).alias("value"))
+    columns = ["one", *LAGS3, "value"]
+    grams = gram(ar.lag_rows(rows, SHIPMENTS, 3), ["series_id"], columns)
+    fitted = regress(grams, ["series_id"], columns, columns[:-1], "value", 10.0)
+    return fitted.select("series_id", *[F.round(F.col("betas")[i], 8).alias(f"b{i}") for i in range(4)])
+
+
+ORDERS = f"""
+    WITH lagged AS (SELECT * FROM (
+      SELECT series_id, ts, pos, phase, z, [{lags('z', 5)}] AS l FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 5),
+    train AS (SELECT series_id, p, list_concat([1.0::DOUBLE], l[1:p], [z]) AS x
+              FROM lagged CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS p) WHERE phase = 'train'),
+    """ + least_squares("train", "series_id, p", "f") + "," + rss("series_id, p", "f") + """
+    , crit AS (SELECT series_id, p, n, rss, n * ln(rss / n) + 2 * (p + 1) AS aic,
+                      n * ln(rss / n) + 2 * (p + 1) + 2.0 * (p + 1) * (p + 2) / (n - p - 2) AS aicc FROM f_e)"""
+
+
+@query("g12_order_criteria", ORDERS + """
+    SELECT series_id, p, n, round(rss, 6) AS rss, round(aic, 6) AS aic, round(aicc, 6) AS aicc FROM crit""", SCALED)
+def g_criteria(spark, folder):
+    tried = ar.order_candidates(scaled_days(spark, folder).where("phase = 'train'"), TARGET)
+    return rounded(tried.drop("betas"), 6, "rss", "aic", "aicc")
+
+
+@query("m02_plain_forecast", ORDERS + f"""
+    , chosen AS (SELECT series_id, arg_min(p, aic * 1e6 + p) AS p FROM crit GROUP BY 1)
+    SELECT l.series_id, ts, phase, c.p, round({inner('b', 'list_concat([1.0::DOUBLE], l)')}, 7) + 0.0 AS yhat
+    FROM lagged l JOIN chosen c USING (series_id) JOIN f ON f.series_id = c.series_id AND f.p = c.p""", SCALED)
+def m_plain(spark, folder):
+    rows = scaled_days(spark, folder)
+    params = ar.fit_plain(rows.where("phase = 'train'"), TARGET)
+    out = ar.one_step(rows, params, TARGET).join(params.select("series_id", "p"), "series_id")
+    return rounded(out, 7, "yhat").select("series_id", "ts", "phase", "p", "yhat")
+
+
+UNIT_ROOT = f"""
+    WITH lagged AS (SELECT * FROM (SELECT series_id, pos, [z, {lags('z', 6)}] AS l FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+                    WHERE pos >= 6 AND pos < (SELECT any_value(s.n) FROM scaled s WHERE s.series_id = series_id)),
+    train AS (SELECT l.* FROM lagged l JOIN scaled s ON l.series_id = s.series_id AND l.pos = s.pos WHERE s.phase = 'train'),
+    full0 AS (SELECT series_id, [1, l[2], l[2] - l[3], l[3] - l[4], l[4] - l[5], l[5] - l[6], l[1] - l[2]] AS x FROM train),
+    part0 AS (SELECT series_id, [1, x[3], x[4], x[5], x[6], x[7]] AS x FROM full0),
+    d AS (SELECT series_id, [l[i] - l[i + 1] for i in generate_series(1, 6)] AS l FROM train),
+    full1 AS (SELECT series_id, [1, l[2], l[2] - l[3], l[3] - l[4], l[4] - l[5], l[5] - l[6], l[1] - l[2]] AS x FROM d),
+    part1 AS (SELECT series_id, [1, x[3], x[4], x[5], x[6], x[7]] AS x FROM full1),
+    """ + ",".join(least_squares(rows, "series_id", name) + "," + rss("series_id", name) for rows, name in (("full0", "a"), ("part0", "b"), ("full1", "c"), ("part1", "e")))
+
+
+@query("f08_difference_orders", UNIT_ROOT + """
+    , places AS (SELECT series_id, avg(z) AS m, count(*) AS c FROM scaled WHERE phase = 'train' GROUP BY series_id, pos % 7),
+    strength AS (SELECT series_id, sum(c * m * m) - sum(c * m) * sum(c * m) / sum(c) AS between FROM places GROUP BY 1),
+    overall AS (SELECT series_id, count(*) AS n, sum(z * z) - sum(z) * sum(z) / count(*) AS total FROM scaled WHERE phase = 'train' GROUP BY 1),
+    t AS (SELECT a.series_id, sign(a.b[2]) * sqrt((b_e.rss - a_e.rss) / (a_e.rss / (a_e.n - 6))) AS level_t,
+                 sign(c.b[2]) * sqrt((e_e.rss - c_e.rss) / (c_e.rss / (c_e.n - 6))) AS diff_t
+          FROM a JOIN a_e USING (series_id) JOIN b_e USING (series_id) JOIN c USING (series_id) JOIN c_e USING (series_id) JOIN e_e USING (series_id))
+    SELECT series_id, n, CASE WHEN level_t < -2.86 THEN 0 WHEN diff_t < -2.86 THEN 1 ELSE 2 END AS d,
+           CASE WHEN between / total > 0.64 THEN 1 ELSE 0 END AS seasonal_d, round(level_t, 6) AS level_t, round(diff_t, 6) AS diff_t,
+           round(between / total, 8) AS strength
+    FROM t JOIN strength USING (series_id) JOIN overall USING (series_id)""", SCALED)
+def f_difference_orders(spark, folder):
+    out = ar.difference_orders(scaled_days(spark, folder).where("phase = 'train'"), TARGET)
+    return rounded(rounded(out, 6, "level_t", "diff_t"), 8, "strength")
+
+
+@query("m03_order_bounds")
+def m_order_bounds(spark, folder):
+    lengths = hourly_users(spark, folder).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return ar.order_bounds(lengths)
+
+
+@query("m03_smart_forecast")
+def m_smart(spark, folder):
+    rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "arima")
+    return rows
+
+
+@query("m04_rolling_refit", f"""
+    WITH design AS (SELECT * FROM (
+      SELECT series_id, ts, pos, phase, z, min(pos) OVER (PARTITION BY series_id, phase) AS start, [1, {lags('z', 2)}, z] AS x
+      FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 2),
+    eval AS (SELECT *, pos - (pos - start) % 3 AS refit_pos FROM design WHERE phase <> 'train'),
+    running AS (SELECT series_id, pos, i, j, coalesce(sum(x[i] * x[j]) OVER (PARTITION BY series_id, i, j ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
+      FROM design CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS i) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS j)),
+    f_c AS (SELECT series_id, pos AS refit_pos, i, j, g, 3 AS d FROM running SEMI JOIN eval ON running.series_id = eval.series_id AND running.pos = eval.refit_pos),
+    """ + solution("series_id, refit_pos", "f") + f"""
+    SELECT series_id, ts, phase, refit_pos, round(z, 7) + 0.0 AS y_true, round({inner('b', 'x')}, 7) + 0.0 AS yhat
+    FROM eval JOIN f USING (series_id, refit_pos)""", SCALED)
+def m_rolling_refit(spark, folder):
+    out = ar.rolling_refit(scaled_days(spark, folder), TARGET, p=2, every=3)
+    return rounded(out, 7, "y_true", "yhat").drop("pos", "n")
+
+
+@query("m04_rolling_refit_shipments")
+def m_rolling_refit_shipments(spark, folder):
+    rows = with_pos(shipments(spark, folder), SHIPMENTS).select("series_id", "ts", "pos", "n", "value")
+    return ar.rolling_refit(rows.withColumn("phase", phase_from_head()), SHIPMENTS, p=2, every=3)
+
+
+def _basis_sql(count: int) -> str:
+    hinges = [f"greatest(0, t - {0.8 * j / count!r}::DOUBLE)" for j in range(1, count + 1)]
+    waves = [f"{f}({2.0 * math.pi * k!r}::DOUBLE * day / 365.25::DOUBLE)" for k in range(1, 11) for f in ("sin", "cos")]
+    return ", ".join(["1.0::DOUBLE", "t", *hinges, *waves])
+
+
+TREND = f"""
+    WITH span AS (SELECT series_id, min(day) AS d0, max(day) AS d1, max(abs(value)) AS peak
+                  FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day FROM phased) WHERE phase = 'train' GROUP BY 1),
+    timed AS (SELECT p.*, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day, (day - d0) / (d1 - d0) AS t, peak
+              FROM phased p JOIN span USING (series_id)),
+    basis AS (SELECT series_id, ts, phase, peak, value, [{_basis_sql(25)}, value / peak] AS x FROM timed),
+    train AS (SELECT * FROM basis WHERE phase = 'train'),
+    """ + least_squares("train", "series_id", "f", "1e-6") + """
+    , noise AS (SELECT series_id, greatest(avg((x[len(x)] - h) * (x[len(x)] - h)) * count(*) / (count(*) - 47), 1e-12) AS v FROM (
+        SELECT series_id, x, """ + inner("b", "x") + """ AS h FROM train JOIN f USING (series_id)) GROUP BY 1),
+    g_c AS (SELECT f_c.*, v FROM f_c JOIN noise USING (series_id)),
+    """ + solution("series_id", "g", "v * CASE WHEN i <= 2 THEN 1 / 25.0 WHEN i <= 27 THEN 1 / (0.05::DOUBLE * 0.05) ELSE 1 / 100.0 END")
+
+
+@query("m05_trend_forecast", TREND + f"""
+    SELECT series_id, ts, phase, round(peak * {inner('b', 'x')}, 1) + 0.0 AS yhat FROM basis JOIN g USING (series_id)""", PHASED)
+def m_trend(spark, folder):
+    rows = phased(spark, folder)
+    out = trend.predict_trend(rows, trend.fit_trend(rows, TARGET), TARGET)
+    return rounded(out, 1, "yhat").select("series_id", "ts", "phase", "yhat")
+
+
+@query("m05_multiplicative_trend")
+def m_multiplicative(spark, folder):
+    rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "prophet", mode="multiplicative")
+    return rows
+
+
+@query("m06_trend_search")
+def m_trend_search(spark, folder):
+    days = with_pos(orders_by_day(spark, folder), TARGET, "day").withColumn("phase", phase_from_head())
+    return trend.best_trend(trend.search_trend(days, TARGET), TARGET)
+
+
+@query("m07_future_frame", """
+    SELECT series_id, hi + INTERVAL 1 DAY * step AS ts, step FROM (SELECT series_id, max(ts) AS hi FROM days GROUP BY 1)
+    CROSS JOIN (SELECT CAST(unnest(generate_series(1, 30)) AS INTEGER) AS step)""", "days")
+def m_future(spark, folder):
+    return trend.future_frame(orders_by_day(spark, folder), PANEL, 30, "day")
+
+
+@query("m08_forest")
+def m_forest(spark, folder):
+    rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "randomforest", n_estimators=20, max_depth=6)
+    return rows
+
+
+@query("m09_forest_search")
+def m_forest_search(spark, folder):
+    rows = forest.lag_design(phased(spark, folder), TARGET).where("phase = 'train'")
+    small = forest.SPACE | {"n_estimators": (5, 10), "max_depth": (4, 6)}
+    return forest.search_forest(rows, TARGET, trials=2, folds=3, space=small)
+
+
+@query("m08_boosted_changes")
+def m_boosted(spark, folder):
+    rows = forest.lag_design(phased(spark, folder), TARGET)
+    model = forest.fit_boosted(rows.where("phase = 'train'"), TARGET, rounds=5, depth=3)
+    return forest.predict_boosted(model, rows, TARGET)
+
+
+DELTA = f"""
+    WITH channels AS (SELECT series_id, ts, pos, phase, value, m, s, (value - m) / s AS z, (n_orders - mo) / so AS o FROM phased JOIN scaler USING (series_id)),
+    windows AS (SELECT * FROM (
+      SELECT series_id, ts, pos, phase, value, s, z, lag(z) OVER w AS z1, lag(value) OVER w AS v1, lag(z, 2) OVER w AS z2, lag(o) OVER w AS o1, lag(o, 2) OVER w AS o2,
+             [1, {", ".join(f"lag(z, {i}) OVER w, lag(o, {i}) OVER w" for i in range(10, 0, -1))}, z - lag(z) OVER w] AS x
+      FROM channels WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 10),
+    train AS (SELECT * FROM windows WHERE phase = 'train'),
+    """ + least_squares("train", "series_id", "f", "CASE WHEN i > 1 THEN 1 ELSE 0 END") + f"""
+    , pred AS (SELECT series_id, ts, pos, phase, value AS y_true, v1 + s * {inner('b', 'x')} AS yhat, z1, z2, o1, o2, x FROM windows JOIN f USING (series_id))"""
+
+
+@query("m10_change_forecast", DELTA + " SELECT series_id, ts, phase, round(y_true, 3) AS y_true, round(yhat, 3) AS yhat FROM pred", f"{PHASED} scaler")
+def m_delta(spark, folder):
+    rows = phased(spark, folder)
+    out = delta.predict_delta(rows, delta.fit_delta(rows, PANEL), PANEL)
+    return rounded(out, 3, "y_true", "yhat").drop("pos", "n")
+
+
+@query("r08_window_residual", DELTA + f"""
+    , res AS (SELECT *, list_concat(x[2:21], [z1 - z2, o1 - o2]) AS u, list_concat(u, [y_true - yhat]) AS q FROM pred),
+    fitted AS (SELECT series_id, q AS x FROM res WHERE phase = 'val'),
+    """ + least_squares("fitted", "series_id", "r", "5") + f"""
+    SELECT series_id, ts, phase, round(yhat + {inner('b', 'u')}, 2) + 0.0 AS corrected FROM res JOIN r USING (series_id) WHERE phase <> 'train'""",
+    f"{PHASED} scaler")
+def r_window(spark, folder):
+    return _window_residual(spark, folder, 5.0)
+
+
+@query("r08_window_residual_unpenalised")
+def r_window_unpenalised(spark, folder):
+    return _window_residual(spark, folder, 0.0)
+
+
+def _window_residual(spark, folder, alpha):
+    rows = phased(spark, folder)
+    forecast = delta.predict_delta(rows, delta.fit_delta(rows, PANEL), PANEL)
+    inputs = scale.scale(rows, scale.fit_scaler(rows, PANEL), PANEL)
+    params = delta.fit_window_residual(inputs, forecast, PANEL, alpha=alpha)
+    out = delta.apply_window_residual(inputs, forecast, params, PANEL).where("phase <> 'train'")
+    return rounded(out, 2, "corrected").select("series_id", "ts", "phase", "corrected")
+
+
+@query("r05_feature_residual", f"""
+    WITH lagged AS (SELECT * FROM (SELECT series_id, ts, phase, y_true, yhat,
+        [1, lag(y_true) OVER w / 1e5, lag(y_true, 7) OVER w / 1e5, (y_true - yhat) / 1e5] AS x, lag(y_true, 7) OVER w AS old
+      FROM fc WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE old IS NOT NULL),
+    fitted AS (SELECT * FROM lagged WHERE phase = 'val'),
+    """ + least_squares("fitted", "series_id", "r") + f"""
+    SELECT series_id, ts, round(yhat + 1e5 * {inner('b', 'x')}, 2) + 0.0 AS corrected FROM lagged JOIN r USING (series_id) WHERE phase <> 'train'""", FC)
+def r_features(spark, folder):
+    rows = fixed_forecast(spark, folder)
+    lagged = features.with_lags(rows, PANEL.using(value="y_true"), 7)
+    design = lagged.withColumns({
+        "one": F.lit(1.0), "x1": F.col("lag_1") / 1e5, "x7": F.col("lag_7") / 1e5, "miss": (F.col("y_true") - F.col("yhat")) / 1e5,
+    })
+    columns = ["one", "x1", "x7", "miss"]
+    grams = gram(design.where("phase = 'val'"), ["series_id"], columns)
+    params = regress(grams, ["series_id"], columns, columns[:-1], "miss").select("series_id", "betas")
+    from seriesloom.functions.columns import dot
+
+    out = design.where("phase <> 'train'").join(params, "series_id").withColumn("corrected", F.col("yhat") + 1e5 * dot("betas", columns[:-1]))
+    return rounded(out, 2, "corrected").select("series_id", "ts", "corrected")
+
+
+def _horizon_sql(steps: int) -> str:
+    return f"""
+    WITH design AS (SELECT * FROM (
+      SELECT series_id, pos, phase, n, [1, {lags('z', 13)}] AS l, z,
+             [{", ".join(f"lead(z, {h}) OVER w" for h in range(1, steps + 1))}] AS y
+      FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 13),
+    inputs AS (SELECT series_id, pos, n, [1.0::DOUBLE, l[14], l[13], l[12], l[11], l[10], l[9], l[8], l[7], l[6], l[5], l[4], l[3], l[2], z] AS u, y FROM design),
+    train AS (SELECT series_id, h, list_concat(u, [y[h]]) AS x FROM inputs CROSS JOIN (SELECT unnest(generate_series(1, {steps})) AS h)
+              WHERE pos + {steps} < n * 6 // 10),
+    """ + least_squares("train", "series_id, h", "f", "1") + f"""
+    , pred AS (SELECT p.series_id, p.pos - 13 AS origin, h, p.pos + h AS pos, p.n, {inner('b', 'u')} * s + m AS yhat
+               FROM inputs p JOIN f USING (series_id) JOIN scaler USING (series_id))"""
+
+
+@query("m11_horizon_forecast", _horizon_sql(4) + """
+    SELECT pred.series_id, origin, h AS step, ts, round(value, 2) AS y_true, round(yhat, 2) AS yhat
+    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n""", SCALED)
+def m_horizon(spark, folder):
+    rows = phased(spark, folder)
+    out = horizon.predict_rolling(rows, horizon.fit_horizon(rows, TARGET, 14, 4), TARGET, 14, 4)
+    return rounded(out, 2, "y_true", "yhat").select("series_id", "origin", F.col("step"), "ts", "y_true", "yhat")
+
+
+@query("m12_next_horizon", _horizon_sql(4) + """
+    SELECT series_id, CAST(h AS INTEGER) AS step, hi + INTERVAL 1 DAY * h AS ts, round(yhat, 2) AS yhat
+    FROM pred JOIN (SELECT series_id, max(ts) AS hi FROM phased GROUP BY 1) USING (series_id) WHERE origin = n - 14""", SCALED)
+def m_next(spark, folder):
+    rows = phased(spark, folder)
+    out = horizon.predict_next(rows, horizon.fit_horizon(rows, TARGET, 14, 4), TARGET, 14, "day")
+    return rounded(out, 2, "yhat")
+
+
+@query("m13_rolling_forecast", _horizon_sql(4) + """
+    SELECT pred.series_id, ts, round(arg_max(value, origin), 2) AS y_true, round(arg_max(yhat, origin), 2) AS yhat
+    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n AND origin % 2 = 0 GROUP BY 1, 2""", SCALED)
+def m_rolling(spark, folder):
+    rows = phased(spark, folder)
+    params = horizon.fit_horizon(rows, TARGET, 14, 4)
+    return rounded(horizon.rolling_forecast(rows, params, TARGET, 14, 4, step=2), 2, "y_true", "yhat")
+
+
+@query("m14_segment_forecast", _horizon_sql(4) + """
+    , seg AS (SELECT pred.series_id, phase, origin, ts, value, yhat * 1.05 + 100 AS yhat
+              FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n),
+    fit AS (SELECT series_id, avg(value - yhat) AS intercept FROM seg WHERE phase = 'val' GROUP BY 1)
+    SELECT series_id, ts, round(avg(value), 2) AS y_true, round(avg(yhat + intercept), 2) AS yhat FROM seg JOIN fit USING (series_id) GROUP BY 1, 2""", SCALED)
+def m_segment(spark, folder):
+    rows = phased(spark, folder)
+    params = horizon.fit_horizon(rows, TARGET, 14, 4)
+    steps = horizon.predict_rolling(rows, params, TARGET, 14, 4).withColumn("yhat", F.col("yhat") * 1.05 + 100)
+    val = steps.join(rows.where("phase = 'val'").select("series_id", "pos"), ["series_id", "pos"])
+    residual = fit_residual(val, TARGET, "bias", phase=None)
+    out = horizon.segment_forecast(rows, params, TARGET, 14, 4, calibration=(1.05, 100.0), residual=residual)
+    return rounded(out, 2, "y_true", "yhat")
+
+
+@query("m15_dense_last", _horizon_sql(1) + """
+    SELECT pred.series_id, ts, pos, round(value, 2) AS y_true, round(yhat, 2) AS yhat
+    FROM pred JOIN phased USING (series_id, pos) WHERE pos >= pred.n - 200""", SCALED)
+def m_dense(spark, folder):
+    rows = phased(spark, folder)
+    out = horizon.dense_last(rows, horizon.fit_horizon(rows, TARGET, 14, 1), TARGET, 14, 200)
+    return rounded(out, 2, "y_true", "yhat")
+
+
+@query("m16_naive", "SELECT series_id, ts, phase, y_true, yhat FROM naive", f"{PHASED} naive")
+def m_naive(spark, folder):
+    return naive_forecast(daily_orders(spark, folder), PANEL).select("series_id", "ts", "phase", "y_true", "yhat")
+
+
+@query("m16_naive_shipments", "SELECT pos, value AS y_true, lag(value) OVER (ORDER BY pos) AS yhat FROM shipments", "shipments")
+def m_naive_shipments(spark, folder):
+    rows = with_pos(shipments(spark, folder), SHIPMENTS)
+    return naive_forecast(rows, SHIPMENTS, block=8192).select("pos", "y_true", "yhat")
+
+
+@query("m17_model_comparison")
+def m_models(spark, folder):
+    panel = daily_orders(spark, folder)
+    chosen = {"naive": {}, "lstm": {}, "informer": {"seq_len": 14, "pred_len": 4}, "arima": {"mode": "plain"}}
+    scores = None
+    for model, settings in chosen.items():
+        rows, _ = dispatch.forecast(panel, TARGET, model, **settings)
+        scored = metrics.evaluate(rows, ["model", "series_id", "phase"], "rmse", "mae", "mape_masked")
+        scores = scored if scores is None else scores.unionByName(scored)
+    return scores
+
+
+@query("m17_event_forecast")
+def m_events(spark, folder):
+    rows, _ = dispatch.forecast(daily_events(spark, folder), EVENTS, "lstm", seq_len=3)
+    return rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -26,10 +28,14 @@ def grid_counts(stream: DataFrame, spec: SeriesSpec, step: str, lateness: str) -
 def score_batch(batch: DataFrame, history: DataFrame, params: DataFrame, spec: SeriesSpec, step_seconds: int, lags: int) -> DataFrame:
     """One-step forecasts for the new grid rows.
 
-    The history that matters are the last ``lags`` steps before the batch, so
-    rows outside are pruned before the join. Absent steps count as 0.
+    The history that matters are the last ``lags`` steps before the batch; the
+    scan skips what is older. Absent steps count as 0.
     """
     keys = list(spec.keys)
+    first = batch.agg(F.min(spec.time)).first()[0]
+    if first is None:
+        return batch.select(*keys, spec.time, F.col(spec.value).alias("y_true"), F.lit(None).cast("double").alias("yhat"))
+    history = history.where(F.col(spec.time) >= F.lit(first - timedelta(seconds=step_seconds * lags)))
     new = batch.select(*keys, spec.time, spec.value).withColumn("_new", F.lit(True))
     span = new.groupBy(*keys).agg(F.min(spec.time).alias("_lo"), F.max(spec.time).alias("_hi"))
     start = F.col("_lo") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(step_seconds * lags).cast("decimal(18,6)"))
