@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from seriesloom.functions.calendar import date_parts
 from seriesloom.functions.columns import clipped, finite, number
 from seriesloom.operators.position import fill_backward, fill_forward
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 
@@ -34,7 +35,7 @@ def keep_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def series_mean(df: DataFrame, spec: SeriesSpec, column: str, name: str = "_mean") -> DataFrame:
     """Add the mean of the column over the series."""
-    return df.join(df.groupBy(*spec.keys).agg(F.avg(column).alias(name)), list(spec.keys))
+    return df.join(cut_lineage(df.groupBy(*spec.keys).agg(F.avg(column).alias(name))), list(spec.keys))
 
 
 def fill_missing(df: DataFrame, spec: SeriesSpec, method: str | float | None, columns: list[str] | None = None) -> DataFrame:
@@ -70,7 +71,9 @@ def clip_values(df: DataFrame, value: str, low: float, high: float) -> DataFrame
 
 def clip_sigma(df: DataFrame, spec: SeriesSpec, width: float = 3.0) -> DataFrame:
     """Limit the target to its series mean plus or minus ``width`` population deviations."""
-    moments = df.groupBy(*spec.keys).agg(F.avg(spec.value).alias("_mean"), F.stddev_pop(spec.value).alias("_std"))
+    moments = cut_lineage(
+        df.groupBy(*spec.keys).agg(F.avg(spec.value).alias("_mean"), F.stddev_pop(spec.value).alias("_std"))
+    )
     low, high = F.col("_mean") - width * F.col("_std"), F.col("_mean") + width * F.col("_std")
     limited = clipped(spec.value, low, high)
     return df.join(moments, list(spec.keys)).withColumn(spec.value, limited).drop("_mean", "_std")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import number, timestamp
 from seriesloom.operators.position import block_of, with_pos
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 # Time column names accepted in a forecast table.
@@ -114,7 +115,7 @@ def timeline(train: DataFrame, val: DataFrame, test: DataFrame, spec: SeriesSpec
     truth = continuous_truth(train, val, test, spec).select(*keys, spec.time)
     forecast = continuous_forecast(train, val, test, spec).select(*keys, spec.time)
     last = lambda part, name: part.where(F.col("y_true").isNotNull()).groupBy(*keys).agg(F.max(spec.time).alias(name))
-    ends = last(train, "_train_end").join(last(val, "_val_end"), keys, "full")
+    ends = cut_lineage(last(train, "_train_end").join(last(val, "_val_end"), keys, "full"))
     moment, train_end = F.col(spec.time), F.col("_train_end")
     val_end = F.coalesce("_val_end", "_train_end")
     no = F.lit(False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.columns import finite
 from seriesloom.operators.position import over_blocks
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 # Guards of the different relative errors.
@@ -147,7 +148,7 @@ def ljung_box(df: DataFrame, spec: SeriesSpec, max_lag: int = 10, alpha: float =
     pairs = df.where(F.col("y_true").isNotNull() & F.col("yhat").isNotNull())
     residuals = pairs.select(*keys, "pos", (F.col("y_true") - F.col("yhat")).alias("e"))
     means = residuals.groupBy(*keys).agg(F.avg("e").alias("_mean"), F.count(F.lit(1)).alias("n_rows"))
-    centred = residuals.join(means, keys).withColumn("e", F.col("e") - F.col("_mean"))
+    centred = residuals.join(cut_lineage(means), keys).withColumn("e", F.col("e") - F.col("_mean"))
     lagged = over_blocks(
         centred, spec, lambda w: {f"_e{k}": F.lag("e", k).over(w) for k in range(1, max_lag + 1)}, before=max_lag
     )

@@ -318,7 +318,7 @@ def rolling_refit(
     starts = (
         df.where(F.col("phase") != "train").groupBy(*keys, "phase").agg(F.min("pos").alias("_start"))
     )
-    rows = lag_rows(df, spec, p).join(starts, [*keys, "phase"], "left")
+    rows = lag_rows(df, spec, p).join(cut_lineage(starts), [*keys, "phase"], "left")
     since = F.col("pos") - F.col("_start")
     rows = rows.withColumn("refit_pos", F.col("pos") - since % every)
     history = gram(rows.withColumn("_block", block_of(block)), [*keys, "_block"], names)
@@ -329,6 +329,7 @@ def rolling_refit(
         "_block", F.explode(F.sequence(first, last))
     )
     size, upper = len(names), np.triu_indices(len(names))
+    cell = square(np.arange(len(upper[0]), dtype=float), size).astype(int)
     schema = copies.select(*keys, spec.time, "pos", "n", "phase", F.col(spec.value).alias("y_true"), "refit_pos").schema.add("yhat", "double")
     value, time = spec.value, spec.time
 
@@ -345,14 +346,18 @@ def rolling_refit(
         yhat = np.full(len(part), np.nan)
         todo = own & part["phase"].ne("train").to_numpy()
         refits = part["refit_pos"].to_numpy(dtype=float)
-        for origin in np.unique(refits[todo]):
-            g = square(total[np.searchsorted(pos, origin)], size)
-            at = todo & (refits == origin)
-            if g[0, 0] > size - 1:
-                betas = solved(g[:-1, :-1] + penalty * np.eye(size - 1), g[:-1, -1])
-                yhat[at] = x[at][:, :-1] @ betas
-            else:
-                yhat[at] = x[at][:, 1]
+        origins, which = np.unique(refits[todo], return_inverse=True)
+        history = total[np.searchsorted(pos, origins)][:, cell]
+        x_rows, y_rows = history[:, :-1, :-1] + penalty * np.eye(size - 1), history[:, :-1, -1]
+        enough = history[:, 0, 0] > size - 1
+        betas = np.zeros((len(origins), size - 1))
+        try:
+            betas[enough] = np.linalg.solve(x_rows[enough], y_rows[enough][:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            betas[enough] = [solved(g, y) for g, y in zip(x_rows[enough], y_rows[enough])]
+        # Too little history for the fit: the last value.
+        betas[~enough, 1] = 1.0
+        yhat[todo] = (x[todo][:, :-1] * betas[which]).sum(axis=1)
         out = part[[*keys, time, "pos", "n", "phase"]].copy()
         out["y_true"], out["refit_pos"] = part[value], refits
         out["yhat"] = yhat

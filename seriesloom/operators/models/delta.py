@@ -33,7 +33,7 @@ def fit_delta(df: DataFrame, spec: SeriesSpec, seq_len: int = 10, penalty: float
     A window belongs to the phase of the row it predicts.
     """
     keys = list(spec.keys)
-    scaler = cut_lineage(scale.fit_scaler(df, spec))
+    scaler = scale.fit_scaler(df, spec)
     rows = with_window(scale.scale(df, scaler, spec), spec, seq_len).where(F.col("phase") == "train")
     rows = rows.withColumn("_change", F.col(spec.value) - F.col(f"{spec.value}_1"))
     xs = ["one", *window_columns(spec, seq_len)]

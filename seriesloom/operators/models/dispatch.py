@@ -24,7 +24,7 @@ def _naive(df: DataFrame, spec: SeriesSpec) -> Result:
 
 def _arima(df: DataFrame, spec: SeriesSpec, mode: str = "smart", calibrate: bool = True, season: int = 7, **settings) -> Result:
     keys = list(spec.keys)
-    scaler = cut_lineage(scale.fit_scaler(df, spec, [spec.value]))
+    scaler = scale.fit_scaler(df, spec, [spec.value])
     moved = scale.scale(df, scaler, spec, [spec.value])
     train = moved.where(F.col("phase") == "train")
     if mode == "plain":
@@ -77,15 +77,17 @@ MODELS: dict[str, Callable[..., Result]] = {
 }
 
 
-def forecast(df: DataFrame, spec: SeriesSpec, model: str, **settings) -> Result:
+def forecast(df: DataFrame, spec: SeriesSpec, model: str, stored: bool = False, **settings) -> Result:
     """Fit the named model on the training phase and forecast validation and test.
 
-    Needs ``pos`` and ``n``; a frame without ``phase`` gets 60/20/20. Returns the
-    forecast rows and the parameter (or trial) table.
+    Needs ``pos`` and ``n``; a frame without ``phase`` gets 60/20/20. The rows are
+    read several times, so they are written to a table first unless ``stored``
+    says that they come from one. Returns the forecast rows and the parameter (or
+    trial) table.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, known are {sorted(MODELS)}")
     phased = df if "phase" in df.columns else df.withColumn("phase", phase_from_head())
-    rows, params = MODELS[model](phased, spec, **settings)
+    rows, params = MODELS[model](phased if stored else cut_lineage(phased), spec, **settings)
     evaluated = rows.where(F.col("phase") != "train")
     return evaluated.select(*spec.keys, spec.time, "pos", "phase", "y_true", "yhat").withColumn("model", F.lit(model)), params

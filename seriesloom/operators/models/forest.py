@@ -82,7 +82,8 @@ def search_forest(
     ``rows`` comes from :func:`lag_design` with training rows only. Each trial is
     a distributed fit, and only its error comes back.
     """
-    sized = rows.drop("n").join(rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("_first")), list(spec.keys))
+    sizes = cut_lineage(rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("_first")))
+    sized = rows.drop("n").join(sizes, list(spec.keys))
     folded = cut_lineage(expanding_folds(sized.withColumn("pos", F.col("pos") - F.col("_first")).drop("_first"), folds))
     results = []
     for trial, settings in enumerate(random_settings(trials, seed, space)):

@@ -45,7 +45,7 @@ def fit_horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: in
     Needs ``pos`` and ``phase``; only windows whose whole horizon is training are used.
     """
     keys = list(spec.keys)
-    scaler = cut_lineage(scale.fit_scaler(df, spec, [spec.value]))
+    scaler = scale.fit_scaler(df, spec, [spec.value])
     xs = [f"x_{i}" for i in range(seq_len - 1, -1, -1)]
     ys = [f"y_{h}" for h in range(1, pred_len + 1)]
 
@@ -108,7 +108,7 @@ def dense_last(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int,
     needed = df.where(F.col("pos") >= F.col("n") - k - seq_len)
     rows = predict_rolling(needed, params, spec, seq_len, 1)
     sizes = df.groupBy(*spec.keys).agg(F.max("n").alias("n"))
-    return rows.join(sizes, list(spec.keys)).where(F.col("pos") >= F.col("n") - k).drop("n", "origin", "step")
+    return rows.join(cut_lineage(sizes), list(spec.keys)).where(F.col("pos") >= F.col("n") - k).drop("n", "origin", "step")
 
 
 def predict_next(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, grid: str) -> DataFrame:

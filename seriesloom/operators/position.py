@@ -59,7 +59,7 @@ def _pos_by_bucket(df: DataFrame, spec: SeriesSpec, grid: str) -> DataFrame:
 def _pos_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     keys = list(spec.keys)
     order = [*keys, *spec.order]
-    # The numbering needs the same partitions in both passes below, hence the written copy.
+    # Both passes below must see the same partitions, hence the written table.
     ranged = cut_lineage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -77,16 +77,19 @@ def _pos_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
             F.sum("_part_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_shift"),
     )
-    first = (
-        pieces.join(shift, "_part")
-        .groupBy(*keys)
-        .agg(F.min(F.col("_shift") + F.col("_row")).alias("_first"), F.sum("_rows").alias("n"))
+    series = Window.partitionBy(*keys)
+    # One row per series and partition it touches.
+    offsets = cut_lineage(
+        pieces.join(shift, "_part").select(
+            *keys, "_part",
+            (F.col("_shift") - F.min(F.col("_shift") + F.col("_row")).over(series)).alias("_add"),
+            F.sum("_rows").over(series).alias("n"),
+        )
     )
     return (
-        ranged.join(shift, "_part")
-        .join(first, keys)
-        .withColumn("pos", (F.col("_shift") + F.col("_row") - F.col("_first")).cast("bigint"))
-        .drop("_part", "_row", "_shift", "_first")
+        ranged.join(offsets, [*keys, "_part"])
+        .withColumn("pos", (F.col("_row") + F.col("_add")).cast("bigint"))
+        .drop("_part", "_row", "_add")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import clipped
 from seriesloom.operators.features import with_trailing_mean
 from seriesloom.operators.metrics import mape_eps
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 
@@ -32,7 +33,7 @@ def _with_phase_ends(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         F.max(F.when(val, F.col("pos"))).alias("_val_end"),
         F.min(F.when(test, F.col("pos"))).alias("_test_start"),
     )
-    return df.join(ends, list(spec.keys))
+    return df.join(cut_lineage(ends), list(spec.keys))
 
 
 def _tail_length(rows: int) -> Column:
@@ -52,7 +53,7 @@ def calibrate_bias(df: DataFrame, spec: SeriesSpec, season: int = 7) -> DataFram
     )
     shifted = F.col("yhat") + F.coalesce("bias", F.lit(0.0))
     evaluated = F.col("phase").isin("val", "test")
-    return df.join(bias, list(spec.keys)).withColumn("yhat", F.when(evaluated, shifted).otherwise(F.col("yhat")))
+    return df.join(cut_lineage(bias), list(spec.keys)).withColumn("yhat", F.when(evaluated, shifted).otherwise(F.col("yhat")))
 
 
 def calibrate_spread(
@@ -80,7 +81,7 @@ def calibrate_spread(
     stats = stats.select(*spec.keys, ratio.alias("ratio"), "_val_mean", "_test_mean")
     centre = F.when(F.col("phase") == "val", F.col("_val_mean")).when(F.col("phase") == "test", F.col("_test_mean"))
     stretched = centre + (F.col("yhat") - centre) * F.col("ratio")
-    return df.join(stats, list(spec.keys)).withColumn("yhat", F.coalesce(stretched, F.col("yhat"))).drop("_val_mean", "_test_mean")
+    return df.join(cut_lineage(stats), list(spec.keys)).withColumn("yhat", F.coalesce(stretched, F.col("yhat"))).drop("_val_mean", "_test_mean")
 
 
 def fit_residual(df: DataFrame, spec: SeriesSpec, kind: str = "linear", alpha: float = 1.0, phase: str | None = "val") -> DataFrame:
@@ -106,7 +107,7 @@ def fit_residual(df: DataFrame, spec: SeriesSpec, kind: str = "linear", alpha: f
         "lasso": F.coalesce(F.try_divide(F.signum(cov) * F.greatest(F.abs(cov) - alpha, F.lit(0.0)), var), F.lit(0.0)),
     }[kind]
     fitted = sums.withColumn("slope", slope)
-    return fitted.select(*spec.keys, "slope", (F.col("_mr") - F.col("slope") * F.col("_mx")).alias("intercept"))
+    return cut_lineage(fitted.select(*spec.keys, "slope", (F.col("_mr") - F.col("slope") * F.col("_mx")).alias("intercept")))
 
 
 def apply_residual(df: DataFrame, params: DataFrame, spec: SeriesSpec, name: str = "corrected") -> DataFrame:
@@ -121,7 +122,7 @@ def keep_if_better(df: DataFrame, spec: SeriesSpec, by: list[str] | None = None)
     by = by or list(spec.keys)
     scores = df.groupBy(*by).agg(mape_eps().alias("raw_mape"), mape_eps(yhat="corrected").alias("corrected_mape"))
     used = F.coalesce(F.col("corrected_mape") < F.col("raw_mape"), F.lit(True))
-    return df.join(scores, by).withColumn("used", used).withColumn("final", F.when(F.col("used"), F.col("corrected")).otherwise(F.col("yhat")))
+    return df.join(cut_lineage(scores), by).withColumn("used", used).withColumn("final", F.when(F.col("used"), F.col("corrected")).otherwise(F.col("yhat")))
 
 
 def add_correction(df: DataFrame, correction: DataFrame, spec: SeriesSpec, name: str = "corrected") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 
@@ -15,7 +16,7 @@ def fit_scaler(df: DataFrame, spec: SeriesSpec, columns: list[str] | None = None
     for c in columns or spec.columns:
         spread = F.stddev_pop(c)
         stats += [F.avg(c).alias(f"{c}_mean"), F.when(spread == 0, 1.0).otherwise(spread).alias(f"{c}_std")]
-    return rows.groupBy(*spec.keys).agg(*stats)
+    return cut_lineage(rows.groupBy(*spec.keys).agg(*stats))
 
 
 def scaled(c: str) -> Column:
@@ -59,7 +60,7 @@ def inverse_target(df: DataFrame, params: DataFrame, spec: SeriesSpec, columns:
 def impute_mean(df: DataFrame, spec: SeriesSpec, columns: list[str]) -> DataFrame:
     """Fill NULLs with the mean of the training rows of the same series; needs ``phase``."""
     train = df.where(F.col("phase") == "train")
-    means = train.groupBy(*spec.keys).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
+    means = cut_lineage(train.groupBy(*spec.keys).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns]))
     filled = df.join(means, list(spec.keys), "left").withColumns(
         {c: F.coalesce(F.col(c), F.col(f"{c}_mean")) for c in columns}
     )

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators.features import with_lags
 from seriesloom.operators.split import phase_from_head
+from seriesloom.session import cut_lineage
 from seriesloom.sources.series import PANEL, daily_orders, table
 
 
 def phased(spark: SparkSession, folder: str) -> DataFrame:
-    """Gap-free order days with their 60/20/20 phase."""
-    return daily_orders(spark, folder).withColumn("phase", phase_from_head())
+    """Gap-free order days with their 60/20/20 phase, as a written table for repeated use."""
+    return cut_lineage(daily_orders(spark, folder).withColumn("phase", phase_from_head()))
 
 
 def fixed_forecast(spark: SparkSession, folder: str) -> DataFrame:

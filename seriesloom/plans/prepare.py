@@ -13,6 +13,7 @@ from seriesloom.operators.position import first_rows, last_rows, with_pos
 from seriesloom.operators.split import phase_from_head
 from seriesloom.plans.frames import dirty_items, fixed_forecast, phased
 from seriesloom.plans.registry import DAYS, FC, PHASED, query, rounded
+from seriesloom.session import run_folder
 from seriesloom.sources import reader, sink
 from seriesloom.sources.resample import regular_grid
 from seriesloom.sources.series import (
@@ -26,7 +27,7 @@ ITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 @query("a01_csv_source", "SELECT series_id, ts, value FROM days", "days")
 def csv_source(spark, folder):
     days = orders_by_day(spark, folder).select("series_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "value")
-    path = sink.write_forecast(days, sink.run_folder(spark, "source"), "csv", by_phase=False)
+    path = sink.write_forecast(days, run_folder(spark, "source"), "csv", by_phase=False)
     return reader.read_csv(spark, path, keys=("series_id",)).withColumnRenamed("date", "ts")
 
 
@@ -75,7 +76,7 @@ def zero_filled_features(spark, folder):
 @query("a07_forecast_sink", "SELECT series_id, ts, phase, y_true, round(yhat, 4) AS yhat FROM fc", FC)
 def forecast_sink(spark, folder):
     rows = fixed_forecast(spark, folder).select("series_id", "ts", "phase", "y_true", "yhat")
-    stored = spark.read.parquet(sink.write_forecast(rows, sink.run_folder(spark, "forecast")))
+    stored = spark.read.parquet(sink.write_forecast(rows, run_folder(spark, "forecast")))
     return rounded(stored.withColumn("phase", F.col("phase").cast("string")), 4, "yhat")
 
 
@@ -114,7 +115,7 @@ def top_days(spark, folder):
            round(mo, 8) AS n_orders_mean, round(so, 8) AS n_orders_std FROM scaler""", f"{PHASED} scaler")
 def stored_scaler(spark, folder):
     params = scale.fit_scaler(phased(spark, folder), PANEL)
-    path = sink.write_params(params, sink.run_folder(spark, "scaler"), PANEL.columns)
+    path = sink.write_params(params, run_folder(spark, "scaler"), PANEL.columns)
     stored = sink.read_params(spark, path, PANEL.columns)
     return rounded(rounded(stored, 4, "value_mean", "value_std"), 8, "n_orders_mean", "n_orders_std")
 

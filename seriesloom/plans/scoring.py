@@ -8,6 +8,7 @@ from seriesloom.operators import metrics, post
 from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.plans.frames import fixed_forecast
 from seriesloom.plans.registry import DAYS, FC, PHASED, query, rounded
+from seriesloom.session import run_folder
 from seriesloom.sources.series import EVENTS, PANEL, daily_events, daily_orders, hourly_users
 
 BY = ["series_id", "phase"]
@@ -259,7 +260,7 @@ def r_stored(spark, folder):
 
     rows = scored(spark, folder)
     fitted = post.fit_residual(rows, PANEL, "ridge").where("series_id <> '5-LOW'")
-    path = sink.write_params(fitted, sink.run_folder(spark, "residual"), ["yhat"])
+    path = sink.write_params(fitted, run_folder(spark, "residual"), ["yhat"])
     out = post.apply_residual(rows.where("phase = 'test'"), sink.read_params(spark, path, ["yhat"]), PANEL)
     return rounded(out, 4, "corrected").select("series_id", "ts", "corrected")
 

@@ -9,7 +9,8 @@ from seriesloom.plans.linear_sql import inner, least_squares
 from seriesloom.plans.registry import query, rounded
 from seriesloom.sources.resample import aggregate_to_grid, fill_grid
 from seriesloom.sources.series import EVENTS, table
-from seriesloom.sources.sink import run_folder, write_params
+from seriesloom.session import run_folder
+from seriesloom.sources.sink import write_params
 from seriesloom.streaming.score import grid_counts, score_stream
 
 CUT = "2024-01-16"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,16 +32,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="seriesloom-checkpoint-")
+    folder = tempfile.mkdtemp(prefix="seriesloom-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder on the storage all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+    """Write ``df`` as a table to the checkpoint folder and continue from the written rows.
 
-    The copy outlives any executor, so later stages neither recompute the plan
-    above nor see it partitioned differently.
+    The table outlives any executor, so later steps neither recompute the plan
+    above nor see it partitioned differently. They read only the columns they
+    need, and the optimizer knows the true size: a small table joined to many
+    rows is broadcast, a large one is not.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = run_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

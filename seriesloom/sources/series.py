@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.session import cut_lineage
 from seriesloom.sources.resample import aggregate_to_grid, fill_grid
 from seriesloom.spec import SeriesSpec
 
@@ -28,12 +29,18 @@ def exact_sum(c: str) -> Column:
 
 
 def orders_by_day(spark: SparkSession, folder: str) -> DataFrame:
-    """Order value and count per priority and day with orders; days without are absent."""
+    """Order value and count per priority and day with orders; days without are absent.
+
+    The result is a written table: what follows reads it more than once, and the
+    orders should be scanned only once.
+    """
     orders = table(spark, folder, "orders").select(
         F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").alias("ts"), "o_totalprice"
     )
-    return aggregate_to_grid(
-        orders, PANEL, "day", value=exact_sum("o_totalprice"), n_orders=F.count(F.lit(1)).cast("double")
+    return cut_lineage(
+        aggregate_to_grid(
+            orders, PANEL, "day", value=exact_sum("o_totalprice"), n_orders=F.count(F.lit(1)).cast("double")
+        )
     )
 
 
@@ -45,13 +52,14 @@ def daily_orders(spark: SparkSession, folder: str, fill: float | None = 0.0) ->
 def daily_events(spark: SparkSession, folder: str) -> DataFrame:
     """Event value per event type and day, with ``pos`` and ``n``."""
     events = table(spark, folder, "events").select(F.col("event_type").alias("series_id"), "ts", "value")
-    return fill_grid(aggregate_to_grid(events, EVENTS, "day", value=exact_sum("value")), EVENTS, "day", 0.0)
+    summed = cut_lineage(aggregate_to_grid(events, EVENTS, "day", value=exact_sum("value")))
+    return fill_grid(summed, EVENTS, "day", 0.0)
 
 
 def hourly_users(spark: SparkSession, folder: str) -> DataFrame:
     """Events per user and hour, with ``pos`` and ``n``: many short series."""
     events = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("series_id"), "ts")
-    counted = aggregate_to_grid(events, EVENTS, "hour", value=F.count(F.lit(1)).cast("double"))
+    counted = cut_lineage(aggregate_to_grid(events, EVENTS, "hour", value=F.count(F.lit(1)).cast("double")))
     return fill_grid(counted, EVENTS, "hour", 0.0)
 
 

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.session import checkpoint_dir
-
-
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the storage all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
-
 
 def write_forecast(df: DataFrame, path: str, fmt: str = "parquet", by_phase: bool = True) -> str:
     """Forecast rows as CSV or parquet, by default one folder per phase."""
