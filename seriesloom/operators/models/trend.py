@@ -28,7 +28,7 @@ GRID = {
     "mode": ("additive", "multiplicative"),
     "seasonality_scale": (5.0, 10.0, 20.0),
 }
-BASE_SCALE = 5.0
+BASE_SCALE, DEFAULT_SEASONALITY_SCALE = 5.0, 10.0
 
 
 @dataclass(frozen=True)
@@ -112,17 +112,29 @@ def _additive(train: DataFrame, keys: list[str], shape: Shape, scales: list[tupl
 
 
 def _multiplicative(train: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
-    """Trend first, then the seasonality of what the trend leaves, relative to it; ``scales`` is a full product."""
-    firsts = [(c, 1.0) for c in dict.fromkeys(c for c, _ in scales)]
-    trends = cut_lineage(
-        _fit(train, keys, shape, "_y", shape.trend, firsts).select(*keys, F.col("changepoint_scale").alias("cs"), F.col("b").alias("betas"))
-    )
-    level = weighted_sum("betas", "trend")
-    rest = train.join(trends, keys).withColumn("_rest", F.try_divide(F.col("_y"), level) - 1.0)
+    """Trend and seasonality relative to it, fitted in turn; ``scales`` is a full product.
+
+    The additive trend gives a first seasonality, the rows without it a better
+    trend, and that the final seasonality.
+    """
     by = [*keys, "cs"]
-    seasons = _fit(rest, by, shape, "_rest", shape.season, list(dict.fromkeys((1.0, s) for _, s in scales)))
+    changes = list(dict.fromkeys(c for c, _ in scales))
+    firsts = [(c, DEFAULT_SEASONALITY_SCALE) for c in changes]
+
+    def relative(trends: DataFrame, seasonal: list[float]) -> DataFrame:
+        level = weighted_sum("betas", "trend")
+        rest = train.join(trends, keys).withColumn("_rest", F.try_divide(F.col("_y"), level) - 1.0)
+        return _fit(rest, by, shape, "_rest", shape.season, [(1.0, s) for s in seasonal]).drop("changepoint_scale")
+
+    additive = cut_lineage(_additive(train, keys, shape, firsts).select(*keys, F.col("changepoint_scale").alias("cs"), "betas"))
+    seasons = cut_lineage(relative(additive, [DEFAULT_SEASONALITY_SCALE]))
+    factor = 1.0 + weighted_sum("b", "season")
+    adjusted = train.join(seasons.select(*by, "b"), keys).withColumn("_level", F.try_divide(F.col("_y"), factor))
+    refits = _fit(adjusted, by, shape, "_level", shape.trend, firsts)
+    trends = cut_lineage(refits.where(F.col("changepoint_scale") == F.col("cs")).select(*by, F.col("b").alias("betas")))
+    final = relative(trends, list(dict.fromkeys(s for _, s in scales)))
     return (
-        seasons.join(trends, by)
+        final.join(trends, by)
         .select(*keys, F.col("cs").alias("changepoint_scale"), "seasonality_scale", "betas", F.col("b").alias("gammas"))
         .withColumn("mode", F.lit("multiplicative"))
     )
@@ -134,7 +146,8 @@ def _training(df: DataFrame, spans: DataFrame, spec: SeriesSpec, shape: Shape) -
 
 
 def fit_trend(
-    df: DataFrame, spec: SeriesSpec, shape: Shape = Shape(), changepoint_scale: float = 0.05, seasonality_scale: float = 10.0,
+    df: DataFrame, spec: SeriesSpec, shape: Shape = Shape(), changepoint_scale: float = 0.05,
+    seasonality_scale: float = DEFAULT_SEASONALITY_SCALE,
     mode: str = "additive",
 ) -> DataFrame:
     """Coefficients and training span per series from its training rows; needs ``phase``."""
