@@ -16,7 +16,7 @@ from seriesloom.operators import scale
 from seriesloom.operators.features import lag_names, with_lags
 from seriesloom.operators.metrics import best, mape_stable
 from seriesloom.operators.post import clamp_positive, smooth
-from seriesloom.operators.split import expanding_folds
+from seriesloom.operators.split import fold_role
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
@@ -59,7 +59,7 @@ def predict_forest(model: PipelineModel, rows: DataFrame, spec: SeriesSpec) -> D
     """Forecasts in the units of the target, not below 0."""
     scored = model.transform(rows).withColumn("yhat", scale.unscaled("_scaled", spec.value))
     scored = scored.withColumn("y_true", scale.unscaled(spec.value, spec.value))
-    kept = [c for c in ("pos", "n", "phase", "fold", "role") if c in rows.columns]
+    kept = [c for c in ("pos", "n", "phase") if c in rows.columns]
     return scored.select(*spec.keys, spec.time, *kept, "y_true", clamp_positive().alias("yhat"))
 
 
@@ -84,14 +84,14 @@ def search_forest(
     """
     sizes = cut_lineage(rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("_first")))
     sized = rows.drop("n").join(sizes, list(spec.keys))
-    folded = cut_lineage(expanding_folds(sized.withColumn("pos", F.col("pos") - F.col("_first")).drop("_first"), folds))
+    stored = cut_lineage(sized.withColumn("pos", F.col("pos") - F.col("_first")).drop("_first"))
     results = []
     for trial, settings in enumerate(random_settings(trials, seed, space)):
         errors = []
         for fold in range(1, folds + 1):
-            part = folded.where(F.col("fold") == fold)
-            model = fit_forest(part.where(F.col("role") == "fit"), spec, n_lags, seed, **settings)
-            scored = predict_forest(model, part.where(F.col("role") == "eval"), spec)
+            role = fold_role(fold, folds)
+            model = fit_forest(stored.where(role == "fit"), spec, n_lags, seed, **settings)
+            scored = predict_forest(model, stored.where(role == "eval"), spec)
             errors.append(scored.agg(mape_stable().alias("mape")).first()["mape"])
         known = [e for e in errors if e is not None]
         results.append({"trial": trial, **settings, "mape": sum(known) / len(known) if known else None})

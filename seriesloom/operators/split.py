@@ -62,14 +62,17 @@ def refit_origin(every: int) -> Column:
     return F.expr(f"step div {every} * {every}")
 
 
-def expanding_folds(df: DataFrame, folds: int = 5) -> DataFrame:
-    """Rows repeated per fold ``k`` as ``fit`` or ``eval``; a fold evaluates one block after all it fits on."""
+def fold_role(fold: Column | int, folds: int = 5) -> Column:
+    """``fit``, ``eval`` or NULL: a fold evaluates one block of rows after all it fits on."""
     size = F.expr(f"n div {folds + 1}")
-    k = F.col("fold")
-    start = _n() - (folds + 1 - k) * size
+    start = _n() - (folds + 1 - fold) * size
+    return F.when((size > 0) & (_pos() < start), "fit").when((size > 0) & (_pos() < start + size), "eval")
+
+
+def expanding_folds(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Rows repeated per fold 1..``folds`` with their ``role`` in it."""
     out = df.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    role = F.when(_pos() < start, "fit").when(_pos() < start + size, "eval")
-    return out.withColumn("role", role).where(F.col("role").isNotNull() & (size > 0))
+    return out.withColumn("role", fold_role(F.col("fold"), folds)).where(F.col("role").isNotNull())
 
 
 def is_origin(need: int, step: int, from_tail: bool = False) -> Column:

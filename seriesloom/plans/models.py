@@ -14,7 +14,7 @@ from seriesloom.operators.post import fit_residual
 from seriesloom.operators.position import with_pos
 from seriesloom.operators.split import phase_from_head
 from seriesloom.plans.frames import fixed_forecast, phased
-from seriesloom.plans.linear_sql import cells, inner, lags, least_squares, rss, solution
+from seriesloom.plans.linear_sql import cells, inner, lags, least_squares, rss, shrunk, solution
 from seriesloom.plans.registry import DAYS, FC, PHASED, SCALED, query, rounded
 from seriesloom.sources.series import EVENTS, PANEL, SHIPMENTS, daily_events, daily_orders, hourly_users, orders_by_day, shipments
 
@@ -121,7 +121,17 @@ def f_difference_orders(spark, folder):
     return rounded(rounded(out, 6, "level_t", "diff_t"), 8, "strength")
 
 
-@query("m03_order_bounds")
+@query("m03_order_bounds", """
+    WITH sizes AS (SELECT CAST(user_id AS VARCHAR) AS series_id,
+                          date_diff('hour', date_trunc('hour', min(ts)), date_trunc('hour', max(ts))) + 1 AS n FROM events GROUP BY 1),
+    tiers AS (SELECT *, least(CASE WHEN n < 200 THEN 2 WHEN n < 1000 THEN 5 ELSE 7 END, 5) AS p, p AS q,
+                     CASE WHEN n < 14 THEN 0 ELSE least(CASE WHEN n < 200 THEN 1 WHEN n < 1000 THEN 2 ELSE 3 END, 2) END AS s,
+                     greatest(2, least(12, n // 10)) AS budget FROM sizes),
+    walk AS (SELECT series_id, n, p, q, s, budget FROM tiers UNION ALL
+             SELECT series_id, n, CASE WHEN p >= q THEN p - 1 ELSE p END, CASE WHEN p >= q THEN q ELSE q - 1 END, s, budget
+             FROM walk WHERE p + q + 2 * s > budget AND greatest(p, q) > 1)
+    SELECT series_id, n, min(p) AS max_p, min(q) AS max_q, any_value(s) AS max_sp, any_value(s) AS max_sq, n < 200 AS small_sample
+    FROM walk GROUP BY series_id, n""", "event_days")
 def m_order_bounds(spark, folder):
     lengths = hourly_users(spark, folder).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     return ar.order_bounds(lengths)
@@ -133,61 +143,75 @@ def m_smart(spark, folder):
     return rows
 
 
-@query("m04_rolling_refit", f"""
+def _refit_sql(source: str) -> str:
+    """Expanding refits every third evaluated row, from running sums of products."""
+    return f"""
     WITH design AS (SELECT * FROM (
       SELECT series_id, ts, pos, phase, z, min(pos) OVER (PARTITION BY series_id, phase) AS start, [1, {lags('z', 2)}, z] AS x
-      FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 2),
+      FROM {source} WINDOW w AS (PARTITION BY series_id ORDER BY pos)) WHERE pos >= 2),
     eval AS (SELECT *, pos - (pos - start) % 3 AS refit_pos FROM design WHERE phase <> 'train'),
     running AS (SELECT series_id, pos, i, j, coalesce(sum(x[i] * x[j]) OVER (PARTITION BY series_id, i, j ORDER BY pos
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
       FROM design CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS i) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS j)),
     f_c AS (SELECT series_id, pos AS refit_pos, i, j, g, 3 AS d FROM running SEMI JOIN eval ON running.series_id = eval.series_id AND running.pos = eval.refit_pos),
     """ + solution("series_id, refit_pos", "f") + f"""
-    SELECT series_id, ts, phase, refit_pos, round(z, 7) + 0.0 AS y_true, round({inner('b', 'x')}, 7) + 0.0 AS yhat
-    FROM eval JOIN f USING (series_id, refit_pos)""", SCALED)
+    SELECT series_id, ts, pos, phase, refit_pos, round(z, 7) + 0.0 AS y_true, round({inner('b', 'x')}, 7) + 0.0 AS yhat
+    FROM eval JOIN f USING (series_id, refit_pos)"""
+
+
+@query("m04_rolling_refit", _refit_sql("scaled"), SCALED)
 def m_rolling_refit(spark, folder):
     out = ar.rolling_refit(scaled_days(spark, folder), TARGET, p=2, every=3)
-    return rounded(out, 7, "y_true", "yhat").drop("pos", "n")
+    return rounded(out, 7, "y_true", "yhat").drop("n")
 
 
-@query("m04_rolling_refit_shipments")
+@query("m04_rolling_refit_shipments", _refit_sql("""(SELECT 'shipments' AS series_id, ts, pos, value AS z,
+      CASE WHEN pos < n*6//10 THEN 'train' WHEN pos < n*6//10 + n*2//10 THEN 'val' ELSE 'test' END AS phase FROM shipments)"""), "shipments")
 def m_rolling_refit_shipments(spark, folder):
     rows = with_pos(shipments(spark, folder), SHIPMENTS).select("series_id", "ts", "pos", "n", "value")
-    return ar.rolling_refit(rows.withColumn("phase", phase_from_head()), SHIPMENTS, p=2, every=3)
+    out = ar.rolling_refit(rows.withColumn("phase", phase_from_head()), SHIPMENTS, p=2, every=3)
+    return rounded(out, 7, "y_true", "yhat").drop("n")
 
 
-def _basis_sql(count: int) -> str:
-    hinges = [f"greatest(0, t - {0.8 * j / count!r}::DOUBLE)" for j in range(1, count + 1)]
-    waves = [f"{f}({2.0 * math.pi * k!r}::DOUBLE * day / 365.25::DOUBLE)" for k in range(1, 11) for f in ("sin", "cos")]
-    return ", ".join(["1.0::DOUBLE", "t", *hinges, *waves])
+def _trend_sql(count: int) -> str:
+    hinges = ", ".join(f"greatest(0, t - {0.8 * j / count!r}::DOUBLE)" for j in range(1, count + 1))
+    waves = ", ".join(f"{f}({2.0 * math.pi * k!r}::DOUBLE * day / 365.25::DOUBLE)" for k in range(1, 11) for f in ("sin", "cos"))
+    return f"""
+    WITH dated AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day FROM phased),
+    span AS (SELECT series_id, min(day) AS d0, max(day) AS d1, max(abs(value)) AS peak FROM dated WHERE phase = 'train' GROUP BY 1),
+    timed AS (SELECT d.*, (day - d0) / (d1 - d0) AS t, peak FROM dated d JOIN span USING (series_id)),
+    basis AS (SELECT series_id, ts, phase, peak, value / peak AS y, [1.0::DOUBLE, t, {hinges}] AS tr, [{waves}] AS se FROM timed),
+    train AS (SELECT * FROM basis WHERE phase = 'train'),
+    joint AS (SELECT series_id, list_concat(tr, se, [y]) AS x FROM train),
+    """ + shrunk("joint", "series_id", "g", f"CASE WHEN i <= 2 THEN 1 / 25.0 WHEN i <= {count + 2} THEN {TREND_WEIGHT} ELSE 1 / 100.0 END")
 
 
-TREND = f"""
-    WITH span AS (SELECT series_id, min(day) AS d0, max(day) AS d1, max(abs(value)) AS peak
-                  FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day FROM phased) WHERE phase = 'train' GROUP BY 1),
-    timed AS (SELECT p.*, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day, (day - d0) / (d1 - d0) AS t, peak
-              FROM phased p JOIN span USING (series_id)),
-    basis AS (SELECT series_id, ts, phase, peak, value, [{_basis_sql(25)}, value / peak] AS x FROM timed),
-    train AS (SELECT * FROM basis WHERE phase = 'train'),
-    """ + least_squares("train", "series_id", "f", "1e-6") + """
-    , noise AS (SELECT series_id, greatest(avg((x[len(x)] - h) * (x[len(x)] - h)) * count(*) / (count(*) - 47), 1e-12) AS v FROM (
-        SELECT series_id, x, """ + inner("b", "x") + """ AS h FROM train JOIN f USING (series_id)) GROUP BY 1),
-    g_c AS (SELECT f_c.*, v FROM f_c JOIN noise USING (series_id)),
-    """ + solution("series_id", "g", "v * CASE WHEN i <= 2 THEN 1 / 25.0 WHEN i <= 27 THEN 1 / (0.05::DOUBLE * 0.05) ELSE 1 / 100.0 END")
+TREND_WEIGHT = "1 / (0.05::DOUBLE * 0.05)"
+RELATIVE = "SELECT series_id, list_concat(se, [y / {0} - 1]) AS x FROM train JOIN {1} USING (series_id)"
 
 
-@query("m05_trend_forecast", TREND + f"""
-    SELECT series_id, ts, phase, round(peak * {inner('b', 'x')}, 1) + 0.0 AS yhat FROM basis JOIN g USING (series_id)""", PHASED)
+@query("m05_trend_forecast", _trend_sql(25) + f"""
+    SELECT series_id, ts, phase, round(peak * {inner('b', 'list_concat(tr, se)')}, 1) + 0.0 AS yhat FROM basis JOIN g USING (series_id)""", PHASED)
 def m_trend(spark, folder):
     rows = phased(spark, folder)
     out = trend.predict_trend(rows, trend.fit_trend(rows, TARGET), TARGET)
     return rounded(out, 1, "yhat").select("series_id", "ts", "phase", "yhat")
 
 
-@query("m05_multiplicative_trend")
+@query("m05_multiplicative_trend", _trend_sql(25) + f"""
+    , first_trend AS (SELECT series_id, b[1:27] AS b FROM g),
+    rest1 AS ({RELATIVE.format(inner('b', 'tr'), 'first_trend')}),
+    """ + shrunk("rest1", "series_id", "p", "1 / 100.0") + f"""
+    , adjusted AS (SELECT series_id, list_concat(tr, [y / (1 + {inner('b', 'se')})]) AS x FROM train JOIN p USING (series_id)),
+    """ + shrunk("adjusted", "series_id", "q", f"CASE WHEN i <= 2 THEN 1 / 25.0 ELSE {TREND_WEIGHT} END") + f"""
+    , rest2 AS ({RELATIVE.format(inner('b', 'tr'), 'q')}),
+    """ + shrunk("rest2", "series_id", "r", "1 / 100.0") + f"""
+    SELECT series_id, ts, phase, y_true, round(peak * {inner('tb', 'tr')} * (1 + {inner('sb', 'se')}), 1) + 0.0 AS yhat FROM (
+      SELECT basis.*, round(peak * y, 2) AS y_true, q.b AS tb, r.b AS sb FROM basis JOIN q USING (series_id) JOIN r USING (series_id))
+    WHERE phase <> 'train'""", PHASED)
 def m_multiplicative(spark, folder):
     rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "prophet", mode="multiplicative")
-    return rows
+    return rounded(rounded(rows, 1, "yhat"), 2, "y_true").drop("pos", "model")
 
 
 @query("m06_trend_search")
@@ -251,7 +275,13 @@ def r_window(spark, folder):
     return _window_residual(spark, folder, 5.0)
 
 
-@query("r08_window_residual_unpenalised")
+# The change columns repeat window columns, so leaving them out gives the same fitted values.
+@query("r08_window_residual_unpenalised", DELTA + """
+    , res AS (SELECT *, x[2:21] AS u, list_concat(u, [y_true - yhat]) AS q FROM pred),
+    fitted AS (SELECT series_id, q AS x FROM res WHERE phase = 'val'),
+    """ + least_squares("fitted", "series_id", "r") + f"""
+    SELECT series_id, ts, phase, round(yhat + {inner('b', 'u')}, 2) + 0.0 AS corrected FROM res JOIN r USING (series_id) WHERE phase <> 'train'""",
+    f"{PHASED} scaler")
 def r_window_unpenalised(spark, folder):
     return _window_residual(spark, folder, 0.0)
 
@@ -375,7 +405,21 @@ def m_models(spark, folder):
     return scores
 
 
-@query("m17_event_forecast")
+@query("m17_event_forecast", f"""
+    WITH filled AS (SELECT g.series_id, g.ts, coalesce(value, 0) AS value, row_number() OVER (PARTITION BY g.series_id ORDER BY g.ts) - 1 AS pos,
+                           count(*) OVER (PARTITION BY g.series_id) AS n FROM (
+        SELECT series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM event_days GROUP BY 1) g
+      LEFT JOIN event_days d ON g.series_id = d.series_id AND g.ts = d.ts),
+    ph AS (SELECT *, CASE WHEN pos < n*6//10 THEN 'train' WHEN pos < n*6//10 + n*2//10 THEN 'val' ELSE 'test' END AS phase FROM filled),
+    sc AS (SELECT series_id, avg(value) AS m, stddev_pop(value) AS s FROM ph WHERE phase = 'train' GROUP BY 1),
+    zs AS (SELECT ph.*, (value - m) / s AS z, s FROM ph JOIN sc USING (series_id)),
+    design AS (SELECT * FROM (SELECT series_id, ts, pos, phase, value, s, lag(value) OVER w AS known,
+        [1, lag(z, 3) OVER w, lag(z, 2) OVER w, lag(z, 1) OVER w, z - lag(z) OVER w] AS x FROM zs WINDOW w AS (PARTITION BY series_id ORDER BY ts))
+      WHERE pos >= 3),
+    train AS (SELECT * FROM design WHERE phase = 'train'),
+    """ + least_squares("train", "series_id", "f", "CASE WHEN i > 1 THEN 1 ELSE 0 END") + f"""
+    SELECT series_id, ts, pos, phase, round(value, 2) AS y_true, round(known + s * {inner('b', 'x')}, 5) AS yhat, 'lstm' AS model
+    FROM design JOIN f USING (series_id) WHERE phase <> 'train'""", "event_days")
 def m_events(spark, folder):
     rows, _ = dispatch.forecast(daily_events(spark, folder), EVENTS, "lstm", seq_len=3)
-    return rows
+    return rounded(rounded(rows, 2, "y_true"), 5, "yhat")

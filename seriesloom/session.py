@@ -38,8 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the storage all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
+    """A new folder on the storage all executors share, below one folder per application."""
+    application = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/seriesloom/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -182,6 +182,10 @@ def test_metrics_on_zero_truth_and_nothing(spark):
     assert not metrics.evaluate_pairs(df.where("false").withColumn("g", F.lit(1)), ["g"]).count()
 
 
+def test_percent_text(spark):
+    assert spark.range(1).select(metrics.percent_text(F.lit(0.12345))).first()[0] == "12.35%"
+
+
 def test_best_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([("a", 3, 0.5), ("a", 1, 0.5), ("a", 0, None), ("a", 2, 0.9)], "series_id string, config int, mape double")
     assert metrics.best(df, ["series_id"], "mape", "config").first().config == 1
