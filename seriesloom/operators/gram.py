@@ -30,19 +30,26 @@ def gram(df: DataFrame, keys: list[str], columns: list[Column | str]) -> DataFra
     Rows with a NULL in a column are left out.
     """
     numbers = F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
-    rows = df.select(*keys, numbers.alias("_x")).where(~F.exists("_x", lambda v: v.isNull()))
+    return gram_of(df, keys, numbers, len(columns))
+
+
+def gram_of(df: DataFrame, keys: list[str], vector: Column, size: int) -> DataFrame:
+    """As :func:`gram` for the elements of an array column of ``size`` numbers."""
+    rows = df.select(*keys, vector.alias("_x"))
     schema = T.StructType(
         [rows.schema[k] for k in keys]
         + [T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.DoubleType()))]
     )
-    upper = np.triu_indices(len(columns))
+    upper = np.triu_indices(size)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
             if batch.empty:
                 continue
-            matrix = np.stack(batch["_x"].to_numpy())
+            matrix = np.stack(batch["_x"].to_numpy()).astype(float)
+            whole = ~np.isnan(matrix).any(axis=1)
+            matrix, batch = matrix[whole], batch[whole]
             for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
                 part = matrix[at]
                 add = (part.T @ part)[upper]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import SEASONALITIES, epoch_days, fourier_terms, hinge_terms
 from seriesloom.functions.columns import weighted_sum
-from seriesloom.operators.gram import gram, per_key, solved, square
+from seriesloom.operators.gram import gram_of, per_key, solved, square
 from seriesloom.operators.metrics import best, mape_classic
 from seriesloom.session import cut_lineage
 from seriesloom.sources.resample import step_after
@@ -87,10 +87,8 @@ def _shrunk(g: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
     return solved(x + np.diag(max(noise, 1e-12) * weights), y)
 
 
-def _fit(train: DataFrame, keys: list[str], shape: Shape, target: str, names: list[str], scales: list[tuple[float, float]]) -> DataFrame:
-    """Coefficients per key and pair of prior scales, all from one pass."""
-    place = {c: F.col("trend")[i] for i, c in enumerate(shape.trend)} | {c: F.col("season")[i] for i, c in enumerate(shape.season)}
-    grams = gram(train, keys, [*[place[c] for c in names], target])
+def _solutions(grams: DataFrame, keys: list[str], shape: Shape, names: list[str], scales: list[tuple[float, float]]) -> DataFrame:
+    """Coefficients per key and pair of prior scales, all from one matrix per key."""
     prior = {s: _weights(shape, names, *s) for s in scales}
 
     def solve(cells, n, row):
@@ -102,16 +100,22 @@ def _fit(train: DataFrame, keys: list[str], shape: Shape, target: str, names: li
     return per_key(grams, keys, "changepoint_scale double, seasonality_scale double, b array<double>", solve)
 
 
-def _additive(train: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
+def _joint(train: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
+    """Matrices of trend and seasonal terms together, written for repeated use."""
+    vector = F.concat("trend", "season", F.array("_y"))
+    return cut_lineage(gram_of(train, keys, vector, len(shape.trend) + len(shape.season) + 1))
+
+
+def _additive(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
     split = len(shape.trend)
-    both = _fit(train, keys, shape, "_y", [*shape.trend, *shape.season], scales)
+    both = _solutions(joint, keys, shape, [*shape.trend, *shape.season], scales)
     return both.select(
         *keys, "changepoint_scale", "seasonality_scale",
         F.slice("b", 1, split).alias("betas"), F.slice("b", split + 1, len(shape.season)).alias("gammas"),
     ).withColumn("mode", F.lit("additive"))
 
 
-def _multiplicative(train: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
+def _multiplicative(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
     """Trend and seasonality relative to it, fitted in turn; ``scales`` is a full product.
 
     The additive trend gives a first seasonality, the rows without it a better
@@ -124,13 +128,15 @@ def _multiplicative(train: DataFrame, keys: list[str], shape: Shape, scales: lis
     def relative(trends: DataFrame, seasonal: list[float]) -> DataFrame:
         level = weighted_sum("betas", "trend")
         rest = train.join(trends, keys).withColumn("_rest", F.try_divide(F.col("_y"), level) - 1.0)
-        return _fit(rest, by, shape, "_rest", shape.season, [(1.0, s) for s in seasonal]).drop("changepoint_scale")
+        grams = gram_of(rest, by, F.concat("season", F.array("_rest")), len(shape.season) + 1)
+        return _solutions(grams, by, shape, shape.season, [(1.0, s) for s in seasonal]).drop("changepoint_scale")
 
-    additive = cut_lineage(_additive(train, keys, shape, firsts).select(*keys, F.col("changepoint_scale").alias("cs"), "betas"))
+    additive = cut_lineage(_additive(train, joint, keys, shape, firsts).select(*keys, F.col("changepoint_scale").alias("cs"), "betas"))
     seasons = cut_lineage(relative(additive, [DEFAULT_SEASONALITY_SCALE]))
     factor = 1.0 + weighted_sum("b", "season")
     adjusted = train.join(seasons.select(*by, "b"), keys).withColumn("_level", F.try_divide(F.col("_y"), factor))
-    refits = _fit(adjusted, by, shape, "_level", shape.trend, firsts)
+    grams = gram_of(adjusted, by, F.concat("trend", F.array("_level")), len(shape.trend) + 1)
+    refits = _solutions(grams, by, shape, shape.trend, firsts)
     trends = cut_lineage(refits.where(F.col("changepoint_scale") == F.col("cs")).select(*by, F.col("b").alias("betas")))
     final = relative(trends, list(dict.fromkeys(s for _, s in scales)))
     return (
@@ -155,7 +161,8 @@ def fit_trend(
     spans = cut_lineage(training_span(df, spec))
     train = _training(df, spans, spec, shape)
     fit = _additive if mode == "additive" else _multiplicative
-    return cut_lineage(fit(train, keys, shape, [(changepoint_scale, seasonality_scale)]).join(spans, keys))
+    joint = _joint(train, keys, shape)
+    return cut_lineage(fit(train, joint, keys, shape, [(changepoint_scale, seasonality_scale)]).join(spans, keys))
 
 
 def predict_trend(df: DataFrame, params: DataFrame, spec: SeriesSpec, shape: Shape = Shape(), name: str = "yhat") -> DataFrame:
@@ -187,8 +194,9 @@ def search_trend(
     for count in grid["n_changepoints"]:
         shape = Shape(count, seasonalities)
         train = _training(df, spans, spec, shape)
+        joint = _joint(train, keys, shape)
         fits = {"additive": _additive, "multiplicative": _multiplicative}
-        parts = [fits[mode](train, keys, shape, scales).join(spans, keys) for mode in grid["mode"]]
+        parts = [fits[mode](train, joint, keys, shape, scales).join(spans, keys) for mode in grid["mode"]]
         params = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
         forecast = predict_trend(val, params, spec, shape)
         by = [*keys, "changepoint_scale", "seasonality_scale", "mode"]

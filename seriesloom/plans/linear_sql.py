@@ -50,14 +50,18 @@ def inner(betas: str, inputs: str) -> str:
     return f"list_sum([{betas}[i] * {inputs}[i] for i in generate_series(1, len({betas}))])"
 
 
-def shrunk(rows: str, key: str, name: str, weight: str) -> str:
-    """Coefficients under normal priors with ``weight`` for input ``i``; the noise comes from a nearly free fit."""
+def shrunk(rows: str, key: str, name: str, weight: str, settings: str = "", setting_names: str = "") -> str:
+    """Coefficients under normal priors with ``weight`` for input ``i``; the noise comes from a nearly free fit.
+
+    ``settings`` is a relation with the columns ``setting_names``; each of its rows gives one solution.
+    """
     free, h = f"{name}f", inner("b", "x")
+    every = f" CROSS JOIN {settings}" if settings else ""
     return (
         least_squares(rows, key, free, "1e-6")
         + f""",
     {name}_v AS (SELECT {key}, greatest(sum((y - h) * (y - h)) / greatest(count(*) - any_value(d), 1), 1e-12) AS v
       FROM (SELECT {key}, d, x[len(x)] AS y, {h} AS h FROM {rows} JOIN {free} USING ({key})) GROUP BY {key}),
-    {name}_c AS (SELECT c.*, v FROM {free}_c c JOIN {name}_v USING ({key})),"""
-        + solution(key, name, f"v * ({weight})")
+    {name}_c AS (SELECT * FROM {free}_c JOIN {name}_v USING ({key}){every}),"""
+        + solution(f"{key}, {setting_names}" if settings else key, name, f"v * ({weight})")
     )

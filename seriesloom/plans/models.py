@@ -214,10 +214,45 @@ def m_multiplicative(spark, folder):
     return rounded(rounded(rows, 1, "yhat"), 2, "y_true").drop("pos", "model")
 
 
-@query("m06_trend_search")
+def _search_sql() -> str:
+    """All 72 settings: additive ones from one matrix per changepoint count, relative ones fitted in turn."""
+    waves = ", ".join(f"{f}({2.0 * math.pi * k!r}::DOUBLE * day / 365.25::DOUBLE)" for k in range(1, 11) for f in ("sin", "cos"))
+    cs, ss, ks = (f"(SELECT unnest({list(trend.GRID[g])}::DOUBLE[]) AS {n})" for g, n in (("changepoint_scale", "cs"), ("seasonality_scale", "ss"), ("n_changepoints", "cp")))
+    trend_weight = "CASE WHEN i <= 2 THEN 1 / 25.0 ELSE 1 / (cs * cs) END"
+    relative = "SELECT series_id, cp, cs, list_concat(se, [y / {0} - 1]) AS x FROM train JOIN {1} USING (series_id, cp)"
+    return f"""
+    WITH ph AS (SELECT *, CASE WHEN pos < n*6//10 THEN 'train' WHEN pos < n*6//10 + n*2//10 THEN 'val' ELSE 'test' END AS phase,
+                       date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::DOUBLE AS day FROM ranked_days),
+    span AS (SELECT series_id, min(day) AS d0, max(day) AS d1, max(abs(value)) AS peak FROM ph WHERE phase = 'train' GROUP BY 1),
+    timed AS (SELECT p.*, (day - d0) / (d1 - d0) AS t, peak FROM ph p JOIN span USING (series_id)),
+    basis AS (SELECT series_id, ts, phase, cp, peak, value, value / peak AS y, [{waves}] AS se,
+                     list_concat([1.0::DOUBLE, t], [greatest(0, t - 0.8::DOUBLE * j / cp) for j in generate_series(1, cp::INTEGER)]) AS tr
+              FROM timed CROSS JOIN {ks}),
+    train AS (SELECT * FROM basis WHERE phase = 'train'),
+    joint AS (SELECT series_id, cp, list_concat(tr, se, [y]) AS x FROM train),
+    """ + shrunk("joint", "series_id, cp", "g", "CASE WHEN i <= 2 THEN 1 / 25.0 WHEN i <= cp + 2 THEN 1 / (cs * cs) ELSE 1 / (ss * ss) END", f"{cs} CROSS JOIN {ss}", "cs, ss") + f"""
+    , t1 AS (SELECT series_id, cp, cs, b[1:(cp::INTEGER + 2)] AS b FROM g WHERE ss = 10),
+    rest1 AS ({relative.format(inner('b', 'tr'), 't1')}),
+    """ + shrunk("rest1", "series_id, cp, cs", "p", "1 / 100.0") + f"""
+    , adjusted AS (SELECT series_id, cp, cs, list_concat(tr, [y / (1 + {inner('b', 'se')})]) AS x FROM train JOIN p USING (series_id, cp)),
+    """ + shrunk("adjusted", "series_id, cp, cs", "q", trend_weight) + f"""
+    , rest2 AS ({relative.format(inner('b', 'tr'), 'q')}),
+    """ + shrunk("rest2", "series_id, cp, cs", "r", "1 / (ss * ss)", ss, "ss") + f"""
+    , fits AS (SELECT series_id, cp, cs, ss, 'additive' AS mode, b[1:(cp::INTEGER + 2)] AS tb, b[(cp::INTEGER + 3):] AS sb FROM g
+      UNION ALL SELECT r.series_id, r.cp, r.cs, ss, 'multiplicative', q.b, r.b FROM r JOIN q ON q.series_id = r.series_id AND q.cp = r.cp AND q.cs = r.cs),
+    scores AS (SELECT series_id, cs, cp, mode, ss, avg(abs(value - yhat) / greatest(abs(value), 2.220446049250313e-16::DOUBLE)) AS mape FROM (
+      SELECT series_id, cs, cp, mode, ss, value, peak * CASE mode WHEN 'additive' THEN level + season ELSE level * (1 + season) END AS yhat FROM (
+        SELECT f.*, value, peak, {inner('tb', 'tr')} AS level, {inner('sb', 'se')} AS season
+        FROM basis JOIN fits f USING (series_id, cp) WHERE phase = 'val')) GROUP BY ALL),
+    numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY cs, cp, mode, ss) - 1 AS INTEGER) AS config FROM scores)
+    SELECT series_id, cs AS changepoint_scale, ss AS seasonality_scale, mode, round(mape, 7) AS mape, CAST(cp AS INTEGER) AS n_changepoints, config
+    FROM numbered QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mape, config) = 1"""
+
+
+@query("m06_trend_search", _search_sql(), "days ranked_days")
 def m_trend_search(spark, folder):
     days = with_pos(orders_by_day(spark, folder), TARGET, "day").withColumn("phase", phase_from_head())
-    return trend.best_trend(trend.search_trend(days, TARGET), TARGET)
+    return rounded(trend.best_trend(trend.search_trend(days, TARGET), TARGET), 7, "mape")
 
 
 @query("m07_future_frame", """
