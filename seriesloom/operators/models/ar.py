@@ -324,9 +324,8 @@ def rolling_refit(
     history = gram(rows.withColumn("_block", block_of(block)), [*keys, "_block"], names)
     before = running_gram(history, keys, "_block")
     # A block also gets the rows since the last refit before it.
-    first, last = block_of(block), F.floor((F.col("pos") + (every - 1)) / block).cast("bigint")
     copies = rows.select(*keys, spec.time, "pos", "n", "phase", "refit_pos", *names).withColumn(
-        "_block", F.explode(F.sequence(first, last))
+        "_block", F.explode(F.sequence(block_of(block), block_of(block, every - 1)))
     )
     size, upper = len(names), np.triu_indices(len(names))
     cell = square(np.arange(len(upper[0]), dtype=float), size).astype(int)

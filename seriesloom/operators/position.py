@@ -93,8 +93,9 @@ def _pos_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def block_of(block: int = BLOCK_ROWS, pos: str = "pos") -> Column:
-    return F.floor(F.col(pos) / F.lit(block)).cast("bigint")
+def block_of(block: int = BLOCK_ROWS, shift: int = 0) -> Column:
+    """Block of the position ``shift`` rows further on."""
+    return F.expr(f"greatest(pos + {shift}, 0L) div {block}")
 
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
@@ -117,9 +118,7 @@ def over_blocks(
     keys = list(spec.keys)
     here = block_of(block)
     if before or after:
-        first = F.floor(F.greatest(F.col("pos") - after, F.lit(0)) / block).cast("bigint")
-        last = F.floor((F.col("pos") + before) / block).cast("bigint")
-        rows = df.withColumn("_block", F.explode(F.sequence(first, last)))
+        rows = df.withColumn("_block", F.explode(F.sequence(block_of(block, -after), block_of(block, before))))
     else:
         rows = df.withColumn("_block", here)
     window = Window.partitionBy(*keys, "_block").orderBy("pos")
