@@ -7,9 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from seriesloom.functions import calendar
+from seriesloom.functions.columns import timestamp
 from seriesloom.operators import features, scale
+from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.operators.position import running_sum, with_pos
-from seriesloom.plans.frames import fixed_forecast, phased
+from seriesloom.operators.post import smooth
+from seriesloom.plans.frames import dirty_items, fixed_forecast, phased
 from seriesloom.plans.registry import DAYS, FC, PHASED, SCALED, query, rounded
 from seriesloom.sources.series import EVENTS, PANEL, SHIPMENTS, daily_orders, hourly_users, orders_by_day, shipments, table
 
@@ -25,9 +28,6 @@ def calendar_set(spark, folder):
     SELECT series_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, ts, year(ts) AS year, month(ts) AS month,
            day(ts) AS day, isodow(ts) - 1 AS weekday FROM numbers""", "dirty numbers")
 def date_parts(spark, folder):
-    from seriesloom.functions.columns import timestamp
-    from seriesloom.plans.frames import dirty_items
-
     rows = dirty_items(spark, folder).withColumn("ts", timestamp("date")).drop("date", "value")
     return features.with_date_parts(rows, EVENTS)
 
@@ -188,8 +188,6 @@ def unscaled(spark, folder):
     SELECT series_id, ts, round(lag(z) OVER (PARTITION BY series_id ORDER BY ts) * s + m, 3) AS yhat
     FROM scaled JOIN scaler USING (series_id)""", SCALED)
 def unscaled_target(spark, folder):
-    from seriesloom.operators.models.naive import naive_forecast
-
     rows = phased(spark, folder)
     params = scale.fit_scaler(rows, PANEL)
     forecast = naive_forecast(scale.scale(rows, params, PANEL), PANEL)
@@ -219,9 +217,7 @@ def levels(spark, folder):
     SELECT series_id, ts, round(l1 + 0.25 * (l1 - l2), 5) AS level FROM (
       SELECT series_id, ts, lag(value) OVER w AS l1, lag(value, 2) OVER w AS l2 FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts))""", DAYS)
 def one_step_levels(spark, folder):
-    from seriesloom.operators.features import with_lags
-
-    rows = with_lags(daily_orders(spark, folder), PANEL, 2, drop_incomplete=False)
+    rows = features.with_lags(daily_orders(spark, folder), PANEL, 2, drop_incomplete=False)
     rows = rows.withColumn("d", 0.25 * (F.col("lag_1") - F.col("lag_2")))
     return rounded(features.one_step_levels(rows, PANEL, "d", "level"), 5, "level").select("series_id", "ts", "level")
 
@@ -243,6 +239,4 @@ def trailing_mean(spark, folder):
     SELECT series_id, ts, round(avg(yhat) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 3) AS yhat
     FROM fc""", FC)
 def smoothed(spark, folder):
-    from seriesloom.operators.post import smooth
-
     return rounded(smooth(fixed_forecast(spark, folder), PANEL), 3, "yhat").select("series_id", "ts", "yhat")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from seriesloom.functions.columns import dot
 from seriesloom.operators import features, metrics, scale
 from seriesloom.operators.gram import gram, regress
 from seriesloom.operators.models import ar, delta, dispatch, forest, horizon, trend
@@ -15,7 +16,7 @@ from seriesloom.operators.position import with_pos
 from seriesloom.operators.split import phase_from_head
 from seriesloom.plans.frames import fixed_forecast, phased
 from seriesloom.plans.linear_sql import cells, inner, lags, least_squares, rss, shrunk, solution
-from seriesloom.plans.registry import DAYS, FC, PHASED, SCALED, query, rounded
+from seriesloom.plans.registry import FC, PHASED, SCALED, query, rounded
 from seriesloom.sources.series import EVENTS, PANEL, SHIPMENTS, daily_events, daily_orders, hourly_users, orders_by_day, shipments
 
 TARGET = PANEL.using(features=())
@@ -346,8 +347,6 @@ def r_features(spark, folder):
     columns = ["one", "x1", "x7", "miss"]
     grams = gram(design.where("phase = 'val'"), ["series_id"], columns)
     params = regress(grams, ["series_id"], columns, columns[:-1], "miss").select("series_id", "betas")
-    from seriesloom.functions.columns import dot
-
     out = design.where("phase <> 'train'").join(params, "series_id").withColumn("corrected", F.col("yhat") + 1e5 * dot("betas", columns[:-1]))
     return rounded(out, 2, "corrected").select("series_id", "ts", "corrected")
 

@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.functions.columns import finite, finite_array, number, timestamp
+from seriesloom.functions.columns import finite_array, number, timestamp
 from seriesloom.operators import clean, quality, scale
 from seriesloom.operators.merge import display
 from seriesloom.operators.metrics import first_k
-from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.operators.position import first_rows, last_rows, with_pos
 from seriesloom.operators.split import phase_from_head
 from seriesloom.plans.frames import dirty_items, fixed_forecast, phased
 from seriesloom.plans.registry import DAYS, FC, PHASED, query, rounded
 from seriesloom.session import run_folder
 from seriesloom.sources import reader, sink
-from seriesloom.sources.resample import regular_grid
 from seriesloom.sources.series import (
     EVENTS, PANEL, SHIPMENTS, daily_events, daily_orders, hourly_users, orders_by_day, shipments, table,
 )
-from seriesloom.spec import SeriesSpec
 
 ITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 

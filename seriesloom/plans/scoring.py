@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from seriesloom.operators import metrics, post
 from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.plans.frames import fixed_forecast
-from seriesloom.plans.registry import DAYS, FC, PHASED, query, rounded
+from seriesloom.plans.registry import FC, PHASED, query, rounded
 from seriesloom.session import run_folder
-from seriesloom.sources.series import EVENTS, PANEL, daily_events, daily_orders, hourly_users
+from seriesloom.sources import sink
+from seriesloom.sources.series import EVENTS, PANEL, daily_orders, hourly_users, orders_by_day
 
 BY = ["series_id", "phase"]
 
@@ -256,8 +257,6 @@ def r_kept(spark, folder):
     SELECT f.series_id, f.ts, round(CASE WHEN f.series_id = '5-LOW' THEN f.yhat ELSE c.corrected END, 4) AS corrected
     FROM fc f JOIN cor c ON f.series_id = c.series_id AND f.ts = c.ts WHERE f.phase = 'test'""", FC)
 def r_stored(spark, folder):
-    from seriesloom.sources import sink
-
     rows = scored(spark, folder)
     fitted = post.fit_residual(rows, PANEL, "ridge").where("series_id <> '5-LOW'")
     path = sink.write_params(fitted, run_folder(spark, "residual"), ["yhat"])
@@ -269,7 +268,5 @@ def r_stored(spark, folder):
     SELECT f.series_id, f.ts, round(f.yhat + coalesce(d.n_orders * 100, 0), 3) AS corrected
     FROM fc f LEFT JOIN days d ON f.series_id = d.series_id AND f.ts = d.ts""", FC)
 def r_joined(spark, folder):
-    from seriesloom.sources.series import orders_by_day
-
     given = orders_by_day(spark, folder).withColumn("correction", F.col("n_orders") * 100)
     return rounded(post.add_correction(fixed_forecast(spark, folder), given, PANEL), 3, "corrected").select("series_id", "ts", "corrected")
