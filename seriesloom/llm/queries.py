@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import fingerprints, html_text, mixing, near_dup, resampling
+from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, resampling, suffixes
 from seriesloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.repeated_spans(table(spark, folder, "documents"))
+
+
+@query
+def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, folder, "documents"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words_each=2)
