@@ -5,9 +5,9 @@ BANDS * ROWS bins is its signature, and empty bins take the value of a filled bi
 chosen by hashing (bin, attempt), the optimal densification. Documents that agree
 in a band share a bucket. Each bucket gives a star: its smallest member against
 the others, so a bucket of n members has n - 1 candidate pairs. Candidates are
-confirmed on full sets. A bucket whose members then still lie in several
-components is searched further, with pairs across components only, so no link
-between bucket members is lost.
+confirmed on full sets. Members that a star leaves outside its centre's component
+are then compared, in blocks, with all members of the star, so no link between
+members of a bucket is lost and no pairs are listed but links.
 
 Documents with equal sets are one node from the start and are never paired.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, lower_ascii, prefix_sums, scramble, window_hashes, word_offsets, words
@@ -36,6 +36,7 @@ SHINGLE_WORDS = 5
 SIMILAR = 80  # percent of the union that two documents share at least
 BANDS, ROWS = 32, 4  # a pair of similarity 0.8 is missed with probability 5e-8
 BIN_BITS = 7  # log2(BANDS * ROWS)
+BLOCK_SHINGLES = 2_000_000  # shingles of the sets compared with each other in one task
 KEPT_BYTES = 6  # of a shingle hash when sets are compared
 
 
@@ -137,18 +138,19 @@ def _sets_of(admitted: IdFilter, size: int):
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _similar(percent: int):
-    def unpack(raw) -> np.ndarray:
-        six = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, KEPT_BYTES)
-        wide = np.zeros((len(six), 8), np.uint8)
-        wide[:, 8 - KEPT_BYTES :] = six
-        return wide.view(">u8").reshape(-1).astype(U64)
+def unpack(raw) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, KEPT_BYTES)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, 8 - KEPT_BYTES :] = six
+    return wide.view(">u8").reshape(-1).astype(U64)
+
 
+def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = unpack(x), unpack(y)
+                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -175,28 +177,73 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent: i
     buckets = classes.select("node", "n", F.explode("bands").alias("key"))
     whole = Window.partitionBy("key")
     buckets = buckets.withColumns({"first": F.min("node").over(whole), "_n": F.count(F.lit(1)).over(whole)}).filter("_n > 1")
-    buckets = cut_lineage(buckets.select("key", "node", "n", "first"))
-    admitted = IdFilter(buckets.select("node").distinct(), "node")
+    members = cut_lineage(buckets.groupBy("first", "node").agg(F.max("n").alias("n")))
+    admitted = IdFilter(members.select("node"), "node")
     sets = cut_lineage(
         docs.select("doc_id", IdFilter.slot("doc_id"), "text").mapInArrow(_sets_of(admitted, words_each), "node long, set binary").dropDuplicates(["node"])
     )
-    stars = buckets.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     links = cut_lineage(confirm(stars, sets, percent))
     comps = cut_lineage(components(links))
-    # Buckets that the stars left in several components: pairs across components, of sizes that allow a link.
-    placed = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ends = F.min("component").over(whole) < F.max("component").over(whole)
-    mixed = cut_lineage(placed.withColumn("_mixed", ends).filter("_mixed").select("key", "node", "n", "first", "component"))
-    left, right = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "ab")
-    fits = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    across = left.join(right, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(confirm(across, sets, percent))
+    more = cut_lineage(outside_links(members, comps, sets, percent))
     if not more.isEmpty():
         comps = cut_lineage(components(links.union(more)))
     return placed_documents(signed, classes, comps)
 
 
+def outside_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members that their star left outside the centre's component, to any member of the star.
+
+    These few are a query set against all members of the star. Both sides are cut
+    into blocks of BLOCK_SHINGLES, and a block of queries meets a block of members
+    on full sets in one task, which gives confirmed links only.
+    """
+    place = comps.select(F.col("node").alias("_n"), "component")
+    rows = members.join(place, F.col("node") == F.col("_n"), "left").select("first", "node", "n", F.coalesce("component", "node").alias("component"))
+    centre = comps.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    rows = rows.join(centre, F.col("first") == F.col("_n"), "left")
+    rows = cut_lineage(rows.select("first", "node", "n", "component", (F.col("component") != F.coalesce("_c", "first")).alias("query")))
+
+    def blocks(total: Column) -> Column:
+        return F.ceil(total / F.lit(BLOCK_SHINGLES)).cast("int")
+
+    size = rows.groupBy("first").agg(blocks(F.sum("n")).alias("all_blocks"), blocks(F.sum(F.when(F.col("query"), F.col("n")))).alias("query_blocks"))
+    rows = rows.join(size.filter("query_blocks > 0"), "first")
+    hashed = F.xxhash64("node")
+    queries = rows.filter("query").withColumn("i", F.pmod(hashed, "query_blocks").cast("int"))
+    queries = queries.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).withColumn("asks", F.lit(True))
+    others = rows.withColumn("j", F.pmod(hashed, "all_blocks").cast("int"))
+    others = others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).withColumn("asks", F.lit(False))
+    both = queries.unionByName(others).select("first", "i", "j", "asks", "node", "component")
+    both = both.join(sets, "node").select("first", "i", "j", "asks", "node", "component", "set")
+    return both.groupBy("first", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _block_links(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy()
+        sets = [unpack(x.as_buffer()) for x in rows.column("set").combine_chunks()]
+        node, component = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        others, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        found: list[tuple[int, int]] = []
+        if len(others) and len(queries):
+            sizes = np.array([len(sets[i]) for i in others])
+            known, at = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+            begin = np.cumsum(sizes) - sizes
+            for q in queries:
+                place = np.searchsorted(known, sets[q])
+                place = place[place < len(known)]
+                mark = np.zeros(len(known), np.int32)
+                mark[place] = np.isin(known[place], sets[q])
+                shared = np.add.reduceat(mark[at], begin)
+                linked = 100 * shared >= percent * (len(sets[q]) + sizes - shared)
+                linked &= component[others] != component[q]
+                found += [tuple(sorted((int(node[q]), int(node[o])))) for o in others[linked]]
+        return pa.Table.from_batches([batch_of(PAIRS, [a for a, _ in found], [b for _, b in found])])
+
+    return run
+
+
 def placed_documents(signed: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     nodes = classes.select("d1", "d2", "node").join(comps, "node", "left")
     nodes = nodes.select("d1", "d2", F.coalesce("component", "node").alias("component"))
