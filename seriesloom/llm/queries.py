@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, resampling, suffixes
+from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, resampling, suffixes, toxicity
 from seriesloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op5_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, folder, "documents"))
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words_each=2)
