@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, resampling, suffixes, toxicity
+from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, pii, resampling, suffixes, toxicity
 from seriesloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op4_repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.repeated_spans(table(spark, folder, "documents"))
