@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import mixing, near_dup, pii, resampling
+from seriesloom.llm import decontam, mixing, near_dup, pii, resampling
 from seriesloom.llm.tables import table
 from seriesloom.session import cut_lineage
 
@@ -17,6 +17,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return near_dup.one_of_each_group(docs)
 
 
+def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, folder, "benchmark"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return pii.redact(docs)
 
@@ -28,6 +32,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 STAGES = [
     ("quality classifier", quality),
     ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark),
     ("PII", personal_data),
     ("mixing sources to target weights", mixing_sources),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import chunking, fingerprints, html_text, mixing, near_dup, pii, resampling, suffixes, toxicity
+from seriesloom.llm import chunking, decontam, fingerprints, html_text, mixing, near_dup, pii, resampling, suffixes, toxicity
 from seriesloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+@query
+def op3_benchmark_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op4_repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.repeated_spans(table(spark, folder, "documents"))
