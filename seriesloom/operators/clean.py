@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.operators.keys import join_on
 from seriesloom.functions.calendar import date_parts
 from seriesloom.functions.columns import clipped, finite, number
-from seriesloom.operators.position import fill_backward, fill_forward
+from seriesloom.operators.position import fill_backward, fill_forward, with_pos
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
@@ -35,7 +36,7 @@ def keep_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def series_mean(df: DataFrame, spec: SeriesSpec, column: str, name: str = "_mean") -> DataFrame:
     """Add the mean of the column over the series."""
-    return df.join(cut_lineage(df.groupBy(*spec.keys).agg(F.avg(column).alias(name))), list(spec.keys))
+    return join_on(df, cut_lineage(df.groupBy(*spec.keys).agg(F.avg(column).alias(name))), spec.keys)
 
 
 def fill_missing(df: DataFrame, spec: SeriesSpec, method: str | float | None, columns: list[str] | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def clip_sigma(df: DataFrame, spec: SeriesSpec, width: float = 3.0) -> DataFrame
     )
     low, high = F.col("_mean") - width * F.col("_std"), F.col("_mean") + width * F.col("_std")
     limited = clipped(spec.value, low, high)
-    return df.join(moments, list(spec.keys)).withColumn(spec.value, limited).drop("_mean", "_std")
+    return join_on(df, moments, spec.keys).withColumn(spec.value, limited).drop("_mean", "_std")
 
 
 def read_numbers(df: DataFrame, exclude: list[str]) -> DataFrame:
@@ -96,11 +97,20 @@ def preprocess(
     sigma: float | None = None,
     drop_duplicates: bool = True,
     calendar: bool = True,
+    grid: str | None = None,
 ) -> DataFrame:
-    """Column subset, duplicates, fill, clip, calendar parts, numbers: one chain."""
+    """Column subset, duplicates, fill, clip, calendar parts, numbers: one chain.
+
+    Positions make rows differ, so rows are compared without them and numbered
+    anew; ``grid`` is that of :func:`with_pos`.
+    """
     extra = [c for c in ("pos", "n") if c in df.columns]
-    out = keep_columns(df, [*spec.keys, spec.time, *spec.columns, *spec.ties, *extra])
-    out = drop_repeats(out) if drop_duplicates else out
+    out = keep_columns(df, [*spec.keys, spec.time, *spec.columns, *spec.ties])
+    if drop_duplicates:
+        out = drop_repeats(out)
+        out = with_pos(out, spec, grid) if extra else out
+    else:
+        out = keep_columns(df, [*out.columns, *extra])
     out = out.withColumns({c: finite(c) for c in spec.columns})
     out = fill_missing(out, spec, fill)
     out = clip_values(out, spec.value, *clip_range) if clip_range else out

@@ -37,17 +37,18 @@ def merge_overlaps(df: DataFrame, spec: SeriesSpec, mode: str = "overwrite") ->
 
 def pair_from_head(truth: DataFrame, forecast: DataFrame, spec: SeriesSpec, grid: str) -> DataFrame:
     """Pair the i-th finite truth with the i-th finite forecast, up to the shorter side."""
-    return _paired(truth, forecast, spec, grid, F.col("pos"))
+    return _paired(truth, forecast, spec, grid, F.col("pos"), finite_only=True)
 
 
 def pair_from_tail(truth: DataFrame, forecast: DataFrame, spec: SeriesSpec, grid: str) -> DataFrame:
-    """Pair the last truth with the last forecast and so on backwards."""
-    return _paired(truth, forecast, spec, grid, F.col("n") - 1 - F.col("pos"))
+    """Pair the last truth with the last forecast and so on backwards; missing values keep their place."""
+    return _paired(truth, forecast, spec, grid, F.col("n") - 1 - F.col("pos"), finite_only=False)
 
 
-def _paired(truth: DataFrame, forecast: DataFrame, spec: SeriesSpec, grid: str, rank: Column) -> DataFrame:
+def _paired(truth: DataFrame, forecast: DataFrame, spec: SeriesSpec, grid: str, rank: Column, finite_only: bool) -> DataFrame:
     def side(df: DataFrame, column: str) -> DataFrame:
-        usable = df.select(*spec.keys, spec.time, number(column).alias(column)).where(F.col(column).isNotNull())
+        usable = df.select(*spec.keys, spec.time, number(column).alias(column))
+        usable = usable.where(F.col(column).isNotNull()) if finite_only else usable
         return with_pos(usable, spec, grid).select(*spec.keys, rank.alias("rank"), column)
 
     return side(truth, "y_true").join(side(forecast, "yhat"), [*spec.keys, "rank"])

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators.keys import join_on
 from seriesloom.functions.columns import finite
 from seriesloom.operators.position import over_blocks
 from seriesloom.session import cut_lineage
@@ -119,36 +120,50 @@ def percent_text(c: Column | str) -> Column:
     return F.format_string("%.2f%%", _y(c) * 100.0)
 
 
-# Gamma(k / 2 + 1) for k = 1 .. 10 degrees of freedom.
-_GAMMAS = [math.gamma(k / 2 + 1) for k in range(1, 11)]
+CHI_STEPS = 400  # terms of the series and of the continued fraction
 
 
 def chi_square_tail(q: Column, dof: Column) -> Column:
-    """P(X > q) for up to 10 degrees of freedom, by the series of the incomplete gamma function."""
+    """P(X > q) for any degrees of freedom: the upper incomplete gamma function over the whole one.
+
+    Below a + 1 the power series of the lower part converges fast, above it the
+    continued fraction of the upper part, which keeps small tails exact.
+    """
     a, x = dof / 2.0, q / 2.0
-    start = F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term"))
+    # Gamma(a) by its recurrence from Gamma(1) = 1 or Gamma(1/2) = sqrt(pi).
+    odd = F.pmod(dof, F.lit(2)) == 1
+    first = F.when(odd, F.lit(0.5)).otherwise(F.lit(1.0))
+    steps = F.sequence(F.lit(0), F.greatest(F.floor((dof - 1) / 2).cast("int"), F.lit(0)))
+    start = F.when(odd, F.lit(math.log(math.pi) / 2)).otherwise(F.lit(0.0))
+    log_gamma = F.aggregate(steps, start, lambda acc, i: acc + F.when(first + i < a, F.log(first + i)).otherwise(F.lit(0.0)))
+    scale = F.exp(a * F.log(x) - x - log_gamma)
 
     def add(acc: Column, i: Column) -> Column:
         term = acc["term"] * x / (a + i)
         return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
 
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(600)), start, add, lambda acc: acc["total"])
-    scale = F.pow(x, a) * F.exp(-x) / F.element_at(F.array(*[F.lit(g) for g in _GAMMAS]), dof.cast("int"))
-    # Beyond this the tail is smaller than the rounding error of the series.
-    return F.when(x > 150, F.lit(0.0)).otherwise(F.greatest(1.0 - scale * series, F.lit(0.0)))
+    one = F.struct((1.0 / a).alias("total"), (1.0 / a).alias("term"))
+    lower = F.aggregate(F.sequence(F.lit(1), F.lit(CHI_STEPS)), one, add, lambda acc: acc["total"])
+
+    def fraction(acc: Column, i: Column) -> Column:
+        return F.try_divide(i * (i - a), x + 2.0 * i + 1.0 - a - acc)
+
+    rest = F.aggregate(F.sequence(F.lit(CHI_STEPS), F.lit(1)), F.lit(0.0), lambda acc, i: F.coalesce(fraction(acc, i), F.lit(0.0)))
+    upper = scale / (x + 1.0 - a - rest)
+    return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, F.greatest(1.0 - scale * lower, F.lit(0.0))).otherwise(upper)
 
 
 def ljung_box(df: DataFrame, spec: SeriesSpec, max_lag: int = 10, alpha: float = 0.05) -> DataFrame:
     """Autocorrelation test of the residuals per series; ``df`` is one phase with ``pos``.
 
     The lag is a quarter of the rows, at least 1 and at most ``max_lag``. Series
-    with fewer than four pairs are left out.
+    with fewer than four pairs have no test: NULL.
     """
     keys = list(spec.keys)
     pairs = df.where(F.col("y_true").isNotNull() & F.col("yhat").isNotNull())
     residuals = pairs.select(*keys, "pos", (F.col("y_true") - F.col("yhat")).alias("e"))
     means = residuals.groupBy(*keys).agg(F.avg("e").alias("_mean"), F.count(F.lit(1)).alias("n_rows"))
-    centred = residuals.join(cut_lineage(means), keys).withColumn("e", F.col("e") - F.col("_mean"))
+    centred = join_on(residuals, cut_lineage(means), keys).withColumn("e", F.col("e") - F.col("_mean"))
     lagged = over_blocks(
         centred, spec, lambda w: {f"_e{k}": F.lag("e", k).over(w) for k in range(1, max_lag + 1)}, before=max_lag
     )
@@ -162,8 +177,8 @@ def ljung_box(df: DataFrame, spec: SeriesSpec, max_lag: int = 10, alpha: float =
         F.when(F.lit(k) <= lag, F.pow(F.try_divide(F.col(f"_c{k}"), F.col("_var")), F.lit(2)) / (n - k)).otherwise(F.lit(0.0))
         for k in range(1, max_lag + 1)
     ]
-    q = n * (n + 2) * sum(terms[1:], terms[0])
-    tested = sums.where(n > 3).select(*keys, "n_rows", lag.alias("lag"), q.alias("q"))
+    q = F.when(n > 3, n * (n + 2) * sum(terms[1:], terms[0]))
+    tested = sums.select(*keys, "n_rows", lag.alias("lag"), q.alias("q"))
     return tested.withColumn("p_value", chi_square_tail(F.col("q"), F.col("lag"))).withColumn(
         "uncorrelated", F.col("p_value") > alpha
     )

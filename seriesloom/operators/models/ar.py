@@ -32,9 +32,11 @@ def lag_rows(df: DataFrame, spec: SeriesSpec, lags: int) -> DataFrame:
 
 def information_criteria(n: int, rss: float, k: int) -> tuple[float, float]:
     """AIC and its small-sample form for ``k`` coefficients."""
-    aic = n * np.log(max(rss, 1e-300) / n) + 2 * k
     room = n - k - 1
-    return float(aic), float(aic + 2 * k * (k + 1) / room) if room > 0 else float("inf")
+    if room <= 0:  # the fit interpolates
+        return float("inf"), float("inf")
+    aic = n * np.log(max(rss, 1e-300) / n) + 2 * k
+    return float(aic), float(aic + 2 * k * (k + 1) / room)
 
 
 def order_candidates(train: DataFrame, spec: SeriesSpec, max_p: int = 5) -> DataFrame:
@@ -52,7 +54,7 @@ def order_candidates(train: DataFrame, spec: SeriesSpec, max_p: int = 5) -> Data
         for p in range(max_p + 1):
             at = list(range(p + 1))
             b = solved(g[np.ix_(at, at)], g[at, target])
-            rss = g[target, target] - b @ g[at, target]
+            rss = max(g[target, target] - b @ g[at, target], 0.0)
             aic, aicc = information_criteria(n, rss, p + 1)
             out.append({"p": p, "n": n, "rss": float(rss), "aic": aic, "aicc": aicc, "betas": [*b.tolist(), *[0.0] * (max_p - p)]})
         return out
@@ -239,7 +241,7 @@ def fit_smart(
             if order not in tried:
                 at = index(*order, intercept)
                 b = solved(g[np.ix_(at, at)], g[at, -1]) if at else np.zeros(0)
-                rss = g[-1, -1] - (b @ g[at, -1] if at else 0.0)
+                rss = max(g[-1, -1] - (b @ g[at, -1] if at else 0.0), 0.0)
                 aic, aicc = information_criteria(n, rss, len(at))
                 tried[order] = (aicc if row["small_sample"] else aic, sum(order), order, at, b, rss)
             return tried[order]
@@ -338,7 +340,9 @@ def rolling_refit(
         x = part[names].to_numpy(dtype=float)
         own = (pos // block) == part["_block"].to_numpy()
         base = np.zeros(len(upper[0])) if start.empty else np.asarray(start["cells"].iloc[0], dtype=float)
-        outer = x[:, upper[0]] * x[:, upper[1]]
+        # Rows with a missing value or lag are no history, as in the first pass.
+        complete = np.isfinite(x).all(axis=1)
+        outer = np.where(complete[:, None], x[:, upper[0]] * x[:, upper[1]], 0.0)
         # The base already holds the copied rows: taking them off gives the history at the first row here.
         base = base - outer[~own].sum(axis=0)
         total = base + np.vstack([np.zeros(outer.shape[1]), np.cumsum(outer, axis=0)])

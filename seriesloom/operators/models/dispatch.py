@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators import scale
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.models import ar, delta, forest, horizon, trend
 from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.operators.post import calibrate_bias, calibrate_spread
+from seriesloom.operators.quality import eligibility
 from seriesloom.operators.split import phase_from_head
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
@@ -77,17 +79,35 @@ MODELS: dict[str, Callable[..., Result]] = {
 }
 
 
+def shortfall(df: DataFrame, spec: SeriesSpec, model: str, seq_len: int | None = None, pred_len: int = 24, **_) -> DataFrame:
+    """Per series its counts and ``reason``: why the model takes it not, NULL if it does.
+
+    The rules are those of :func:`seriesloom.operators.quality.eligibility`.
+    """
+    window = seq_len or {"lstm": 10, "informer": 96}.get(model, 10)
+    table = eligibility(df, spec, window, window // 2, pred_len, window, 1)
+    rule = {"prophet": "eligible_trend", "arima": "eligible_autoregression", "informer": "eligible_horizon", "lstm": "eligible_windows"}.get(model)
+    enough = F.col(rule) if rule else F.lit(True)
+    too_few = F.concat(F.lit(f"too few rows for {model}: "), F.col("n_finite"), F.lit(" usable of "), F.col("n_rows"))
+    if model in ("arima", "randomforest"):  # few rows leave nothing to compare orders or splits on
+        enough = enough & ~F.col("few_rows")
+    return table.select(*spec.keys, "n_rows", "n_finite", F.when(~enough, too_few).alias("reason"))
+
+
 def forecast(df: DataFrame, spec: SeriesSpec, model: str, stored: bool = False, **settings) -> Result:
     """Fit the named model on the training phase and forecast validation and test.
 
     Needs ``pos`` and ``n``; a frame without ``phase`` gets 60/20/20. The rows are
     read several times, so they are written to a table first unless ``stored``
-    says that they come from one. Returns the forecast rows and the parameter (or
-    trial) table.
+    says that they come from one. Series that :func:`shortfall` gives a reason
+    for get no forecast. Returns the forecast rows and the parameter (or trial)
+    table.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}, known are {sorted(MODELS)}")
     phased = df if "phase" in df.columns else df.withColumn("phase", phase_from_head())
-    rows, params = MODELS[model](phased if stored else cut_lineage(phased), spec, **settings)
+    phased = phased if stored else cut_lineage(phased)
+    taken = cut_lineage(shortfall(phased, spec, model, **settings).where("reason IS NULL").select(*spec.keys))
+    rows, params = MODELS[model](join_on(phased, taken, spec.keys), spec, **settings)
     evaluated = rows.where(F.col("phase") != "train")
     return evaluated.select(*spec.keys, spec.time, "pos", "phase", "y_true", "yhat").withColumn("model", F.lit(model)), params

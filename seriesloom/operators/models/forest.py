@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +23,12 @@ from seriesloom.spec import SeriesSpec
 DEFAULTS = {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 1, "max_features": "sqrt", "bootstrap": True}
 SPACE = {
     "n_estimators": tuple(range(100, 601, 50)),
-    "max_depth": tuple(range(4, 33, 2)),
+    "max_depth": tuple(range(4, 31, 2)),
     "min_samples_leaf": tuple(range(1, 9)),
     "max_features": ("sqrt", "log2", "0.5", "0.75", "1.0"),
     "bootstrap": (True, False),
 }
-# Deepest tree the trainer accepts.
+# Deepest tree the trainer accepts; the search ends there.
 MAX_DEPTH = 30
 
 
@@ -40,10 +39,12 @@ def lag_design(df: DataFrame, spec: SeriesSpec, n_lags: int = 10) -> DataFrame:
 
 
 def _stages(features: list[str], label: str, settings: dict, seed: int) -> Pipeline:
+    if settings["max_depth"] > MAX_DEPTH:
+        raise ValueError(f"trees end at depth {MAX_DEPTH}, not {settings['max_depth']}")
     subset = {"1.0": "all"}.get(settings["max_features"], settings["max_features"])
     trees = RandomForestRegressor(
         featuresCol="_features", labelCol=label, predictionCol="_scaled",
-        numTrees=settings["n_estimators"], maxDepth=min(settings["max_depth"], MAX_DEPTH),
+        numTrees=settings["n_estimators"], maxDepth=settings["max_depth"],
         minInstancesPerNode=settings["min_samples_leaf"], featureSubsetStrategy=subset,
         bootstrap=settings["bootstrap"], seed=seed,
     )
@@ -121,8 +122,3 @@ def predict_boosted(model: PipelineModel, rows: DataFrame, spec: SeriesSpec) ->
         *spec.keys, spec.time, "pos", "n", "phase",
         scale.unscaled(spec.value, spec.value).alias("y_true"), (scale.unscaled("lag_1", spec.value) + change).alias("yhat"),
     )
-
-
-def window_vector(window: str):
-    """A flattened window as the vector column trainers take."""
-    return array_to_vector(F.flatten(window))

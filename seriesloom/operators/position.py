@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seriesloom.operators.keys import join_on
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
@@ -48,12 +49,8 @@ def _pos_by_bucket(df: DataFrame, spec: SeriesSpec, grid: str) -> DataFrame:
         F.sum("_rows").over(Window.partitionBy(*keys)).alias("n"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*spec.order))
-    return (
-        rows.withColumn("_rank", rank)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("pos", (F.col("_rank") - 1 + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_rank", "_before")
-    )
+    placed = join_on(rows.withColumn("_rank", rank), offsets, [*keys, "_bucket"])
+    return placed.withColumn("pos", (F.col("_rank") - 1 + F.col("_before")).cast("bigint")).drop("_bucket", "_rank", "_before")
 
 
 def _pos_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -86,11 +83,8 @@ def _pos_by_range(df: DataFrame, spec: SeriesSpec) -> DataFrame:
             F.sum("_rows").over(series).alias("n"),
         )
     )
-    return (
-        ranged.join(offsets, [*keys, "_part"])
-        .withColumn("pos", (F.col("_row") + F.col("_add")).cast("bigint"))
-        .drop("_part", "_row", "_add")
-    )
+    placed = join_on(ranged, offsets, [*keys, "_part"])
+    return placed.withColumn("pos", (F.col("_row") + F.col("_add")).cast("bigint")).drop("_part", "_row", "_add")
 
 
 def block_of(block: int = BLOCK_ROWS, shift: int = 0) -> Column:
@@ -134,7 +128,7 @@ def _carried(df: DataFrame, spec: SeriesSpec, summary: Mapping[str, Column], win
     rows = df.withColumn("_block", block_of(block))
     blocks = rows.groupBy(*keys, "_block").agg(*[c.alias(name) for name, c in summary.items()])
     edges = blocks.select(*keys, "_block", *[carry(name).over(window).alias(name) for name in summary])
-    return rows.join(edges, [*keys, "_block"])
+    return join_on(rows, edges, [*keys, "_block"])
 
 
 def fill_forward(df: DataFrame, spec: SeriesSpec, columns: list[str], block: int = BLOCK_ROWS) -> DataFrame:

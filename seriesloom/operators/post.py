@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.keys import join_on
 from seriesloom.functions.columns import clipped
 from seriesloom.operators.features import with_trailing_mean
 from seriesloom.operators.metrics import mape_eps
@@ -33,7 +34,7 @@ def _with_phase_ends(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         F.max(F.when(val, F.col("pos"))).alias("_val_end"),
         F.min(F.when(test, F.col("pos"))).alias("_test_start"),
     )
-    return df.join(cut_lineage(ends), list(spec.keys))
+    return join_on(df, cut_lineage(ends), spec.keys)
 
 
 def _tail_length(rows: int) -> Column:
@@ -53,7 +54,7 @@ def calibrate_bias(df: DataFrame, spec: SeriesSpec, season: int = 7) -> DataFram
     )
     shifted = F.col("yhat") + F.coalesce("bias", F.lit(0.0))
     evaluated = F.col("phase").isin("val", "test")
-    return df.join(cut_lineage(bias), list(spec.keys)).withColumn("yhat", F.when(evaluated, shifted).otherwise(F.col("yhat")))
+    return join_on(df, cut_lineage(bias), spec.keys).withColumn("yhat", F.when(evaluated, shifted).otherwise(F.col("yhat")))
 
 
 def calibrate_spread(
@@ -81,7 +82,7 @@ def calibrate_spread(
     stats = stats.select(*spec.keys, ratio.alias("ratio"), "_val_mean", "_test_mean")
     centre = F.when(F.col("phase") == "val", F.col("_val_mean")).when(F.col("phase") == "test", F.col("_test_mean"))
     stretched = centre + (F.col("yhat") - centre) * F.col("ratio")
-    return df.join(cut_lineage(stats), list(spec.keys)).withColumn("yhat", F.coalesce(stretched, F.col("yhat"))).drop("_val_mean", "_test_mean")
+    return join_on(df, cut_lineage(stats), spec.keys).withColumn("yhat", F.coalesce(stretched, F.col("yhat"))).drop("_val_mean", "_test_mean")
 
 
 def fit_residual(df: DataFrame, spec: SeriesSpec, kind: str = "linear", alpha: float = 1.0, phase: str | None = "val") -> DataFrame:
@@ -128,6 +129,6 @@ def keep_if_better(df: DataFrame, spec: SeriesSpec, by: list[str] | None = None)
 def add_correction(df: DataFrame, correction: DataFrame, spec: SeriesSpec, name: str = "corrected") -> DataFrame:
     """Add a correction given per series and time; rows without one get 0, surplus corrections are ignored."""
     given = correction.select(*spec.keys, spec.time, "correction")
-    return df.join(given, [*spec.keys, spec.time], "left").withColumn(
+    return join_on(df, given, [*spec.keys, spec.time], "left").withColumn(
         name, F.col("yhat") + F.coalesce("correction", F.lit(0.0))
     ).drop("correction")

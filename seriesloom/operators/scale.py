@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.keys import join_on
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
@@ -40,20 +41,20 @@ def parameter_columns(columns: list[str]) -> list[str]:
 def scale(df: DataFrame, params: DataFrame, spec: SeriesSpec, columns: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Replace the columns by their scaled values; ``keep`` leaves the parameters in the frame."""
     columns = columns or spec.columns
-    out = df.join(params, list(spec.keys)).withColumns({c: scaled(c) for c in columns})
+    out = join_on(df, params, spec.keys).withColumns({c: scaled(c) for c in columns})
     return out if keep else out.drop(*parameter_columns(columns))
 
 
 def inverse_scale(df: DataFrame, params: DataFrame, spec: SeriesSpec, columns: list[str] | None = None) -> DataFrame:
     columns = columns or spec.columns
-    out = df.join(params, list(spec.keys)).withColumns({c: unscaled(c, c) for c in columns})
+    out = join_on(df, params, spec.keys).withColumns({c: unscaled(c, c) for c in columns})
     return out.drop(*parameter_columns(columns))
 
 
 def inverse_target(df: DataFrame, params: DataFrame, spec: SeriesSpec, columns: list[str]) -> DataFrame:
     """Bring forecasts of the target back to its units; other channels are not needed."""
     target = params.select(*spec.keys, *parameter_columns([spec.value]))
-    out = df.join(target, list(spec.keys)).withColumns({c: unscaled(c, spec.value) for c in columns})
+    out = join_on(df, target, spec.keys).withColumns({c: unscaled(c, spec.value) for c in columns})
     return out.drop(*parameter_columns([spec.value]))
 
 
@@ -61,7 +62,7 @@ def impute_mean(df: DataFrame, spec: SeriesSpec, columns: list[str]) -> DataFram
     """Fill NULLs with the mean of the training rows of the same series; needs ``phase``."""
     train = df.where(F.col("phase") == "train")
     means = cut_lineage(train.groupBy(*spec.keys).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns]))
-    filled = df.join(means, list(spec.keys), "left").withColumns(
+    filled = join_on(df, means, spec.keys, "left").withColumns(
         {c: F.coalesce(F.col(c), F.col(f"{c}_mean")) for c in columns}
     )
     return filled.drop(*[f"{c}_mean" for c in columns])

@@ -229,7 +229,9 @@ def sigma_clipped(spark, folder):
             last_value(n_orders IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_orders
           FROM gaps WINDOW w AS (PARTITION BY series_id ORDER BY ts))""", "days grid gaps")
 def preprocessed(spark, folder):
-    return clean.preprocess(daily_orders(spark, folder, fill=None), PANEL, clip_range=(50_000, 400_000))
+    once = daily_orders(spark, folder, fill=None)
+    repeated = once.unionByName(once.where("pos % 3 = 0"))
+    return clean.preprocess(repeated, PANEL, clip_range=(50_000, 400_000), grid="day")
 
 
 @query("c14_eligibility", """

@@ -70,26 +70,20 @@ def test_difference_orders(spark):
     assert got["week"][1] == 1 and got["short"] == (1, 0)
 
 
-def bounds_by_hand(n, season, max_p, max_q, max_sp, max_sq):
-    p, s = (2, 1) if n < 200 else (5, 2) if n < 1000 else (7, 3)
-    p, q = min(p, max_p), min(p, max_q)
-    sp, sq = (min(s, max_sp), min(s, max_sq)) if n >= 2 * season else (0, 0)
-    budget = max(2, min(12, n // 10))
-    while p + q + sp + sq > budget and max(p, q) > 1:
-        if p >= q:
-            p -= 1
-        else:
-            q -= 1
-    return p, q, sp, sq
-
-
-@pytest.mark.parametrize("limits", [(5, 5, 2, 2), (7, 3, 1, 2), (1, 6, 3, 3)])
+# Worked out by hand for a season of 7: largest p, q, seasonal p and q by the length of the series.
+BOUNDS = {
+    (5, 5, 2, 2): {5: (1, 1, 0, 0), 13: (1, 1, 0, 0), 60: (2, 2, 1, 1), 199: (2, 2, 1, 1), 200: (4, 4, 2, 2), 5000: (4, 4, 2, 2)},
+    (7, 3, 1, 2): {5: (1, 1, 0, 0), 13: (1, 1, 0, 0), 60: (2, 2, 1, 1), 199: (2, 2, 1, 1), 200: (5, 3, 1, 2), 5000: (6, 3, 1, 2)},
+}
+
+
+@pytest.mark.parametrize("limits", sorted(BOUNDS))
 def test_order_bounds(spark, limits):
-    sizes = [1, 5, 13, 14, 15, 30, 60, 85, 199, 200, 999, 1000, 5000]
-    lengths = spark.createDataFrame([(n,) for n in sizes], "n bigint")
-    for r in ar.order_bounds(lengths, 7, *limits).collect():
-        assert (r.max_p, r.max_q, r.max_sp, r.max_sq) == bounds_by_hand(r.n, 7, *limits)
-        assert r.small_sample == (r.n < 200)
+    lengths = spark.createDataFrame([(n,) for n in BOUNDS[limits]], "n bigint")
+    got = {r.n: r for r in ar.order_bounds(lengths, 7, *limits).collect()}
+    for n, expected in BOUNDS[limits].items():
+        assert (got[n].max_p, got[n].max_q, got[n].max_sp, got[n].max_sq) == expected
+        assert got[n].small_sample == (n < 200)
 
 
 def test_smart_model_reaches_the_noise_level(spark):
