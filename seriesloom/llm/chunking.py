@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import CODES, prefix_sums, window_hashes
-from seriesloom.llm.tables import batch_of, buffer_of, slices
+from seriesloom.llm.tables import batch_of, buffer_of, packed, slices, unpacked
 from seriesloom.session import cut_lineage
 
 WINDOW = 16  # bytes a cut depends on, a power of two
@@ -156,5 +156,5 @@ def without_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
             out.append(value)
         return pa.array(out, pa.string())
 
-    rows = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return rows.withColumn("text", cut("text", "_spans")).select(*docs.columns)
+    rows = packed(docs, "doc_id", "text").join(spans.withColumnRenamed("doc_id", "_id"), F.col("_doc_id") == F.col("_id"), "left")
+    return unpacked(rows, docs.columns, text=cut("_text", "_spans"))

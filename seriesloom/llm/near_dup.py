@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, lower_ascii, prefix_sums, scramble, window_hashes, word_offsets, words
 from seriesloom.llm.links import IdFilter, components
-from seriesloom.llm.tables import batch_of, buffer_of, list_array, slices
+from seriesloom.llm.tables import batch_of, buffer_of, list_array, packed, slices, unpacked
 from seriesloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -262,7 +262,7 @@ def one_of_each_group(docs: DataFrame, words_each: int = SHINGLE_WORDS, percent:
     found = near_duplicates(docs, words_each, percent).filter("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     ids = cut_lineage(ids.filter("NOT kept OR rows > 1"))
-    rows = docs.join(ids.select(F.col("doc_id").alias("_id"), "kept", "rows"), F.col("doc_id") == F.col("_id"), "left")
+    rows = packed(docs, "doc_id").join(ids.withColumnRenamed("doc_id", "_id"), F.col("_doc_id") == F.col("_id"), "left")
     rows = rows.filter("_id IS NULL OR kept")
-    repeated = rows.filter("rows > 1").dropDuplicates(["_id"])
-    return rows.filter("rows IS NULL OR rows = 1").unionByName(repeated).select(*[docs[c] for c in docs.columns])
+    once = rows.filter("rows > 1").dropDuplicates(["_id"])
+    return unpacked(rows.filter("rows IS NULL OR rows = 1").unionByName(once), docs.columns)

@@ -26,6 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.tables import packed, unpacked
 from seriesloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -76,7 +77,7 @@ def luhn(digits: Column) -> Column:
     """Whether the check digit of a string of digits is right."""
     both = F.transform(
         F.split(F.reverse(digits), ""),
-        lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), d.cast("int") + 1)),
+        lambda d, i: F.when(i % 2 == 0, d.try_cast("int")).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), d.try_cast("int") + 1)),
     )
     return F.aggregate(both, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
@@ -88,7 +89,7 @@ def passes(kind: str, span: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(span, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(
-            F.split(span, r"\."), lambda p: F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).cast("int"), F.lit(0)) <= 255
+            F.split(span, r"\."), lambda p: F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255
         )
     if kind == "card":
         return n.between(13, 19) & luhn(digits_of(span))
@@ -303,8 +304,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; n_chars follows the text."""
-    candidates = with_candidates(docs)
+    """``docs`` with every span replaced by its kind in angle brackets; n_chars follows a changed text."""
+    candidates = with_candidates(packed(docs, "text").withColumnRenamed("_text", "text"))
     rows = with_spans(candidates, learn(candidates.select("base", "proposed")))
     marks = F.array(*[F.lit(f"<{name.upper()}>") for name in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -317,10 +318,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     ordered = F.array_sort("spans", lambda a, b: (a["start"] - b["start"]).cast("int"))
     done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    changed = F.size("spans") > 0
-    rows = rows.withColumn("_new", F.when(changed, done).otherwise(F.col("text")))
-    kept = [
-        F.col("_new").alias(c) if c == "text" else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
-    ]
-    return rows.select(*kept)
+    some = F.size("spans") > 0
+    rows = rows.withColumn("_new", F.when(some, done).otherwise(F.col("text")))
+    changed = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(some, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unpacked(rows, docs.columns, **changed)
