@@ -14,7 +14,7 @@ labelled rows the models have not seen.
 Labels are read only from rows in the training part: crc32(doc_id as text) mod 3 is
 not 1. The class models may be fitted on a bounded sample of those (LABELLED rows,
 smallest hashes of the id) and keep at most MODEL_ROWS counts; the shared model
-counts all documents and has at most 2**24 cells. Only these go to every task.
+counts all documents and has a row per byte triple. Only these go to every task.
 
 Defined results: NULL, empty and blank texts have no evidence and the lowest score;
 a NULL doc_id is not held out and never labelled; a document labelled twice counts
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ DISCOUNT = 0.95
 NOISE = 2.0  # nats a word's ratio must exceed
 THRESHOLD = 0.7
 LABELLED = 20_000
-MODEL_ROWS = 1 << 21
+MODEL_ROWS = 1 << 19
 SEED = 104_729
 SLICE = 1 << 22
 LEAST_EVIDENCE = 1e-3
@@ -105,19 +106,22 @@ def _quads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen)], ["quad"])
 
 
-def shared_model(docs: DataFrame) -> np.ndarray:
-    """Probability of the last byte of every triple, from continuation counts over all documents."""
+def shared_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted byte triples with the probability of their last byte, the weight of the rest per pair, and single bytes.
+
+    Counts are continuation counts over all documents: how many bytes precede a triple.
+    """
     quads = docs.select("text").mapInArrow(_quads, "quad long").distinct()
     triples = quads.groupBy(F.col("quad").bitwiseAND((1 << 24) - 1).alias("triple")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    triples = triples.sort_values("triple")
     triple, n = triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64)
     context, last = triple >> 8, triple & 255
     total = np.bincount(context, weights=n, minlength=1 << 16)
     kinds = np.bincount(context, minlength=1 << 16)
     single = (np.bincount(last, minlength=256) + 1) / (len(last) + 256)
     rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-    table = (rest[:, None] * single[None, :]).astype(np.float32).reshape(-1)
-    table[triple] += ((n - DISCOUNT) / total[context]).astype(np.float32)
-    return table
+    own = (n - DISCOUNT) / total[context] if len(n) else n
+    return triple, own.astype(np.float32), rest.astype(np.float32), single.astype(np.float32)
 
 
 def _counts(ids: np.ndarray, toxic: np.ndarray):
@@ -148,13 +152,13 @@ def _counts(ids: np.ndarray, toxic: np.ndarray):
 
 
 class Model(NamedTuple):
-    shared: np.ndarray
+    shared: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     gram: np.ndarray  # sorted keys
     gram_n: np.ndarray  # per class
     context: np.ndarray
     context_n: np.ndarray  # counts, then kinds, per class
-    slope: float
-    offset: float
+    slope: float = 1.0
+    offset: float = 0.0
 
 
 def labelled(labels: DataFrame, rows: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
@@ -169,16 +173,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _largest(frame: DataFrame, size: Column):
-    """The rows with the largest sizes, about MODEL_ROWS at most, from 2 up: a count seen once is discounted away."""
-    counts = sorted(frame.groupBy(F.least(size, F.lit(1000)).alias("s")).count().collect(), reverse=True)
+def _largest(grams: DataFrame, rows: int = MODEL_ROWS) -> pd.DataFrame:
+    """The most frequent grams: all down to the least count that keeps them within ``rows``."""
+    size = F.col("n0") + F.col("n1")
+    counts = sorted(grams.groupBy(F.least(size, F.lit(1000)).alias("s")).count().collect(), reverse=True)
     least, n = 1000, 0
-    for s, rows in counts:
-        n += rows
-        if s < 2 or n > MODEL_ROWS:
+    for s, more in counts:
+        n += more
+        if n > rows:
             break
         least = s
-    return frame.filter(size >= least).toPandas()
+    return grams.filter(size >= least).toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -187,19 +192,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(np.unique(toxic[~apart])) < 2:
         return None
     counted = docs.select("doc_id", "text").mapInArrow(_counts(ids[~apart], toxic[~apart]), "gram long, context long, n0 long, n1 long")
-    grams = cut_lineage(counted.groupBy("gram", "context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    contexts = grams.groupBy("context").agg(
-        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")
-    )
-    gram = _largest(grams.select("gram", "n0", "n1"), F.col("n0") + F.col("n1"))
-    context = _largest(contexts, F.col("t0") + F.col("t1"))
-
-    def sorted_by(frame, key: str, *columns: str) -> tuple[np.ndarray, np.ndarray]:
+    grams = counted.groupBy("gram", "context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # What one document alone has is discounted away.
+    gram = _largest(cut_lineage(grams.filter("n0 + n1 > 1")))
+    gram["k0"], gram["k1"] = (gram["n0"] > 0).astype(int), (gram["n1"] > 0).astype(int)
+    context = gram.groupby("context", as_index=False)[["n0", "n1", "k0", "k1"]].sum()
+
+    def sorted_by(frame: pd.DataFrame, key: str, *columns: str) -> tuple[np.ndarray, np.ndarray]:
         keys = frame[key].to_numpy(np.int64).view(U64)
         order = np.argsort(keys)
         return keys[order], frame[list(columns)].to_numpy(np.float32)[order]
 
-    model = Model(shared_model(docs), *sorted_by(gram, "gram", "n0", "n1"), *sorted_by(context, "context", "t0", "t1", "k0", "k1"), 1.0, 0.0)
+    model = Model(shared_model(docs), *sorted_by(gram, "gram", "n0", "n1"), *sorted_by(context, "context", "n0", "n1", "k0", "k1"))
     return calibrated(model, docs, ids[apart], toxic[apart])
 
 
@@ -235,7 +239,8 @@ def word_ratios(found: Words, model: Model) -> np.ndarray:
     n = look_up(model.gram, model.gram_n, keys)[of]
     keys, of = np.unique(at.context, return_inverse=True)
     context = look_up(model.context, model.context_n, keys)[of]
-    low = model.shared[at.triple]
+    triple, own, rest, single = model.shared
+    low = look_up(triple, own[:, None], at.triple)[:, 0] + rest[at.triple >> 8] * single[at.triple & 255]
     p = []
     for c in (0, 1):
         total = context[:, c]
