@@ -49,7 +49,7 @@ LENGTH = 200
 PERIOD = 133
 COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 24
 
 CHUNKS = pa.schema([("chunk", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
