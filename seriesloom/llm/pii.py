@@ -199,12 +199,13 @@ def reliabilities(spans: DataFrame) -> DataFrame:
     no = F.aggregate("votes", F.lit(0), lambda a, v: a + (v == 2).cast("int"))
     p = (yes + 1) / (yes + no + 2)
     for _ in range(STEPS):
+        judged, p = patterns.withColumn("p", p), F.col("p")
         sums = {"m": F.sum(F.col("n") * p), "r": F.sum(F.col("n") * (1 - p))}
         for j in range(LABELERS):
             for v in (0, 1, 2):
                 hit = (F.element_at("votes", j + 1) == v).cast("int") * F.col("n")
                 sums[f"t{j}{v}"], sums[f"f{j}{v}"] = F.sum(hit * p), F.sum(hit * (1 - p))
-        rows = patterns.groupBy("kind").agg(*[c.alias(a) for a, c in sums.items()]).collect()  # a row per kind
+        rows = judged.groupBy("kind").agg(*[c.alias(a) for a, c in sums.items()]).collect()  # a row per kind
         right, wrong = (1.0, 2.0, 0.3), (1.0, 0.3, 2.0)
         tables = {}
         for row in rows:
