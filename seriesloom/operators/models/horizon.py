@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators import scale
 from seriesloom.operators.gram import gram, regress_many
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.merge import merge_overlaps
 from seriesloom.operators.position import over_blocks
 from seriesloom.operators.post import apply_residual, linear
@@ -23,13 +26,14 @@ def horizon_windows(df: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int
     return wide.select(*spec.keys, "origin", "n", "x", "y")
 
 
-def _steps(windows: DataFrame, spec: SeriesSpec, seq_len: int, keep: list[str]) -> DataFrame:
-    """One row per window and horizon step, stamped with the time it forecasts."""
-    steps = unrolled(windows, [*spec.keys, "origin", *keep], "y", ["y_true", "_when"])
+def _steps(windows: DataFrame, spec: SeriesSpec, seq_len: int, keep: list[str], cells: list[str] | None = None) -> DataFrame:
+    """One row per window and horizon step, stamped with the time it forecasts; ``cells`` are further numbers in ``y``."""
+    cells = cells or []
+    steps = unrolled(windows, [*spec.keys, "origin", *keep], "y", ["y_true", "_when", *cells])
     moment = F.timestamp_micros(F.col("_when").cast("bigint")).cast("timestamp_ntz")
     return steps.select(
         *spec.keys, "origin", (F.col("step") + 1).alias("step"), moment.alias(spec.time),
-        (F.col("origin") + seq_len + F.col("step")).alias("pos"), "y_true", *keep,
+        (F.col("origin") + seq_len + F.col("step")).alias("pos"), "y_true", *keep, *cells,
     )
 
 
@@ -61,25 +65,44 @@ def fit_horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: in
     return cut_lineage(fitted.select(*keys, "betas").join(scaler, keys))
 
 
-def _forecasts(x: str, value: str) -> Column:
-    """One forecast per coefficient array, from the scaled flat window, in the units of the target."""
+def unscaled_betas(value: str) -> Column:
+    """The coefficients for windows in the units of the target: slopes as they are, the scaler in the intercept."""
     mean, spread = F.col(f"{value}_mean"), F.col(f"{value}_std")
-    scaled = F.transform(x, lambda v: (v - mean) / spread)
-    inputs = F.concat(F.array(F.lit(1.0)), scaled)
 
-    def one_step(b: Column) -> Column:
-        return F.aggregate(F.zip_with(b, inputs, lambda p, q: p * q), F.lit(0.0), lambda a, c: a + c) * spread + mean
+    def fold(b: Column) -> Column:
+        slopes = F.slice(b, 2, F.size(b) - 1)
+        total = F.aggregate(slopes, F.lit(0.0), lambda a, c: a + c)
+        return F.concat(F.array(F.element_at(b, 1) * spread + mean * (1.0 - total)), slopes)
 
-    return F.transform("betas", one_step)
+    return F.transform("betas", fold)
+
+
+def _products(betas: pa.Array, x: pa.Array) -> pa.Array:
+    """One forecast per coefficient array of a row; NULL where the window has a NULL."""
+    rows, flat = len(x), x.flatten().to_numpy(zero_copy_only=False)
+    if not rows:
+        return pa.array([], pa.list_(pa.float64()))
+    width = len(flat) // rows
+    matrices = betas.flatten().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1, width + 1)
+    made = np.einsum("rpw,rw->rp", matrices[:, :, 1:], flat.reshape(rows, width)) + matrices[:, :, 0]
+    cells = made.reshape(-1)
+    offsets = np.arange(rows + 1, dtype=np.int32) * made.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells, mask=np.isnan(cells)))
+
+
+def _forecasts(betas: str, x: str) -> Column:
+    """One forecast per coefficient array, from the flat window in the units of the target."""
+    return F.arrow_udf(_products, "array<double>")(betas, x)
 
 
 def predict_rolling(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int = 1) -> DataFrame:
     """Forecasts of all rolling windows, one row per window and horizon step."""
-    windows = horizon_windows(df, spec, seq_len, pred_len, step).join(params, list(spec.keys))
-    history = F.transform("x", lambda cell: cell[0])
-    windows = windows.withColumn("_x", history).withColumn("_f", _forecasts("_x", spec.value))
-    steps = _steps(windows, spec, seq_len, ["_f"])
-    return steps.withColumn("yhat", F.element_at("_f", F.col("step"))).drop("_f")
+    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.value).alias("_b")))
+    windows = join_on(horizon_windows(df, spec, seq_len, pred_len, step), raw, spec.keys)
+    windows = windows.withColumn("_f", _forecasts("_b", F.transform("x", lambda cell: cell[0]))).drop("_b", "x")
+    # The forecast of a step travels in its own cell, not in a copy of the whole array.
+    windows = windows.withColumn("y", F.zip_with("y", "_f", lambda cell, f: F.concat(cell, F.array(f)))).drop("_f")
+    return _steps(windows, spec, seq_len, [], ["yhat"])
 
 
 def rolling_forecast(
@@ -117,7 +140,8 @@ def predict_next(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: in
         F.max(spec.time).alias("_end"),
         F.array_sort(F.collect_list(F.struct("pos", spec.value)))[spec.value].alias("_x"),
     )
-    whole = windows.where(F.size("_x") == seq_len).join(params, list(spec.keys))
-    steps = whole.select(*spec.keys, "_end", F.posexplode(_forecasts("_x", spec.value)).alias("_i", "yhat"))
+    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.value).alias("_b")))
+    whole = join_on(windows.where(F.size("_x") == seq_len), raw, spec.keys).withColumn("_f", _forecasts("_b", "_x"))
+    steps = whole.select(*spec.keys, "_end", F.posexplode("_f").alias("_i", "yhat"))
     steps = steps.withColumn("step", F.col("_i") + 1)
     return steps.select(*spec.keys, "step", step_after("_end", "step", grid).alias(spec.time), "yhat")

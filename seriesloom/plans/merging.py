@@ -48,7 +48,7 @@ def merge_strict_mean(spark, folder):
 
 PAIRS = """
     WITH truth AS (SELECT series_id, value AS y_true, row_number() OVER (PARTITION BY series_id ORDER BY ts {0}) - 1 AS rank
-                   FROM gaps WHERE value IS NOT NULL),
+                   FROM gaps {1}),
     pred AS (SELECT series_id, yhat, row_number() OVER (PARTITION BY series_id ORDER BY ts {0}) - 1 AS rank FROM fc)
     SELECT series_id, rank, y_true, round(yhat, 3) AS yhat FROM truth JOIN pred USING (series_id, rank)"""
 
@@ -58,12 +58,13 @@ def _sides(spark, folder):
     return truth, fixed_forecast(spark, folder)
 
 
-@query("e04_pair_from_head", PAIRS.format(""), FC)
+@query("e04_pair_from_head", PAIRS.format("", "WHERE value IS NOT NULL"), FC)
 def pair_from_head(spark, folder):
     return rounded(merge.pair_from_head(*_sides(spark, folder), PANEL, "day"), 3, "yhat")
 
 
-@query("e05_pair_from_tail", PAIRS.format("DESC"), FC)
+# From the tail, days without orders keep their place.
+@query("e05_pair_from_tail", PAIRS.format("DESC", ""), FC)
 def pair_from_tail(spark, folder):
     return rounded(merge.pair_from_tail(*_sides(spark, folder), PANEL, "day"), 3, "yhat")
 
@@ -139,10 +140,14 @@ def payload_to_rows(spark, folder):
 
 @query("e13_payload", """
     SELECT series_id, pos // 512 AS chunk, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S'), ',' ORDER BY ts) AS timestamps,
-           string_agg(CAST(CAST(round(y_true * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY ts) AS y_true FROM fc GROUP BY 1, 2""", FC)
+           string_agg(CAST(CAST(round(y_true * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY ts) AS y_true,
+           string_agg(CAST(CAST(round(yhat * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY ts) AS yhat FROM fc GROUP BY 1, 2""", FC)
 def payload(spark, folder):
     made = merge.payload_from_rows(fixed_forecast(spark, folder), PANEL, chunk=512)
-    return made.select("series_id", "chunk", F.array_join("timestamps", ",").alias("timestamps"), cents("y_true").alias("y_true"))
+    tenths = F.transform("yhat", lambda v: v * 10)
+    return made.withColumn("yhat", tenths).select(
+        "series_id", "chunk", F.array_join("timestamps", ",").alias("timestamps"), cents("y_true").alias("y_true"), cents("yhat").alias("yhat")
+    )
 
 
 @query("e13_tail_payload", """

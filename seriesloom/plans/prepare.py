@@ -36,13 +36,13 @@ def typed_source(spark, folder):
 
 
 @query("a02_a03_resolved_roles", """
-    SELECT 'ts' AS time_name, 'event_id' AS value_name, min(ts) AS first_time, count(event_id) AS n_values
+    SELECT 'Timestamp' AS time_name, 'event_id' AS value_name, min(ts) AS first_time, count(event_id) AS n_values
     FROM events""")
 def resolved_roles(spark, folder):
     events = table(spark, folder, "events").withColumnRenamed("ts", "Timestamp")
     time, value = reader.resolve_time(events), reader.resolve_value(events, "amount")
     return events.agg(
-        F.lit("ts").alias("time_name"), F.lit(value).alias("value_name"),
+        F.lit(time).alias("time_name"), F.lit(value).alias("value_name"),
         F.min(time).alias("first_time"), F.count(value).alias("n_values"),
     )
 
