@@ -42,9 +42,9 @@ DISCOUNT = 0.95
 NOISE = 2.0  # nats a word's ratio must exceed
 THRESHOLD = 0.7
 LABELLED = 20_000
-MODEL_ROWS = 1 << 19
+MODEL_ROWS = 1 << 18
 SEED = 104_729
-SLICE = 1 << 22
+SLICE = 1 << 20
 LEAST_EVIDENCE = 1e-3
 
 
