@@ -40,10 +40,13 @@ BUCKETS = 1 << 18
 CELL = 1 << 12
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 PASSAGE, STRIDE = 32, 16  # words
-COSINE = 0.4
+COMMON_WORD = 0.005  # of the passages; words in more of them weigh nothing
+NEAR = 0.25  # of a passage's squared weight that must lie on the benchmark's words
+COSINE = 0.4  # in the latent space
 COMMON = 0.6  # of the item's words in the longest common subsequence
 ANSWER = 0.5  # of the item's rarest third
 ITEMS = 20_000
+LEAST_PASSAGES = 20  # a word in fewer is never common
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +97,14 @@ def _add_lists(name: str):
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """log(passages / passages with the bucket), over all documents."""
+    """log(passages / passages with the bucket), over all documents; 0 for the most common words."""
     counted = docs.select("text").mapInArrow(_frequencies, "cell int, n array<double>")
     cells = counted.groupBy("cell").applyInPandas(_add_lists("n"), "cell int, n array<double>").orderBy("cell").collect()
     if not cells:
         return np.ones(BUCKETS, np.float32)
     counts, passages = np.concatenate([np.array(r[1]) for r in cells[:-1]]), cells[-1][1][0]
-    return np.log((passages + 1) / (counts + 0.5)).clip(0.01).astype(np.float32)
+    weights = np.log((passages + 1) / (counts + 0.5)).clip(0.01)
+    return np.where(counts > max(COMMON_WORD * passages, LEAST_PASSAGES), 0, weights).astype(np.float32)
 
 
 def _product(weights: np.ndarray, place: np.ndarray, basis: np.ndarray):
@@ -118,7 +122,7 @@ def _product(weights: np.ndarray, place: np.ndarray, basis: np.ndarray):
                 at, value = place[bucket], weights[bucket].astype(np.float64)
                 owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 norm = np.sqrt(np.bincount(owner, weights=value**2, minlength=len(first) - 1))
-                value /= norm[owner]
+                value /= np.maximum(norm, 1e-9)[owner]
                 rows = np.zeros((len(first) - 1, basis.shape[1]))
                 np.add.at(rows, owner, basis[at] * value[:, None])
                 np.add.at(total, at, rows[owner] * value[:, None])
@@ -209,8 +213,9 @@ def search(texts: pa.Array, index: Benchmark) -> dict[int, dict[int, tuple[float
     all_sum = np.concatenate([[0], np.cumsum(square)])
     own_sum = np.concatenate([[0], np.cumsum(square * (at >= 0))])
     start, end, owner = passages(first)
-    # The cosine of a passage with any item is at most the root of its weight on the benchmark's words.
-    near = own_sum[end] - own_sum[start] >= COSINE**2 * (all_sum[end] - all_sum[start])
+    # The cosine of a passage with any item is at most the root of its share of weight on the benchmark's words.
+    own = own_sum[end] - own_sum[start]
+    near = (own >= NEAR * (all_sum[end] - all_sum[start])) & (own > 0)
     start, end, owner = start[near], end[near], owner[near]
     for low in range(0, len(start), 2048):
         s, e, o = (x[low : low + 2048] for x in (start, end, owner))
