@@ -40,13 +40,10 @@ BUCKETS = 1 << 18
 CELL = 1 << 12
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 PASSAGE, STRIDE = 32, 16  # words
-COMMON_WORD = 0.005  # of the passages; words in more of them weigh nothing
-NEAR = 0.25  # of a passage's squared weight that must lie on the benchmark's words
 COSINE = 0.4  # in the latent space
 COMMON = 0.6  # of the item's words in the longest common subsequence
 ANSWER = 0.5  # of the item's rarest third
 ITEMS = 20_000
-LEAST_PASSAGES = 20  # a word in fewer is never common
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,14 +94,13 @@ def _add_lists(name: str):
 
 
 def word_weights(docs: DataFrame) -> np.ndarray:
-    """log(passages / passages with the bucket), over all documents; 0 for the most common words."""
+    """log(passages / passages with the bucket), over all documents; positive for every word."""
     counted = docs.select("text").mapInArrow(_frequencies, "cell int, n array<double>")
     cells = counted.groupBy("cell").applyInPandas(_add_lists("n"), "cell int, n array<double>").orderBy("cell").collect()
     if not cells:
         return np.ones(BUCKETS, np.float32)
     counts, passages = np.concatenate([np.array(r[1]) for r in cells[:-1]]), cells[-1][1][0]
-    weights = np.log((passages + 1) / (counts + 0.5)).clip(0.01)
-    return np.where(counts > max(COMMON_WORD * passages, LEAST_PASSAGES), 0, weights).astype(np.float32)
+    return np.log((passages + 1) / (counts + 0.5)).clip(0.01).astype(np.float32)
 
 
 def _product(weights: np.ndarray, place: np.ndarray, basis: np.ndarray):
@@ -201,6 +197,23 @@ def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + PASSAGE, first[owner + 1]), owner
 
 
+def projected(start: np.ndarray, end: np.ndarray, known: np.ndarray, at: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Latent vectors of passages; ``known`` are the places of the benchmark's words. Passages share their halves."""
+    middle = np.minimum(start + STRIDE, end)
+    half, of = np.unique(np.concatenate([start, middle[middle < end]]), return_inverse=True)
+    stop = np.empty(len(half), np.int64)
+    stop[of] = np.concatenate([middle, end[middle < end]])
+    low, high = np.searchsorted(known, half), np.searchsorted(known, stop)
+    sums = np.zeros((len(half), basis.shape[1]), np.float32)
+    for k in range(STRIDE):
+        more = np.flatnonzero(low + k < high)
+        place = known[low[more] + k]
+        sums[more] += basis[at[place]] * weight[place][:, None]
+    out = sums[of[: len(start)]]
+    out[middle < end] += sums[of[len(start) :]]
+    return out
+
+
 def search(texts: pa.Array, index: Benchmark) -> dict[int, dict[int, tuple[float, float, float]]]:
     """By row and place of the item: cosine, common share and answer share of the matches."""
     word, first = tokens(*buffer_of(texts))
@@ -214,25 +227,31 @@ def search(texts: pa.Array, index: Benchmark) -> dict[int, dict[int, tuple[float
     own_sum = np.concatenate([[0], np.cumsum(square * (at >= 0))])
     start, end, owner = passages(first)
     # The cosine of a passage with any item is at most the root of its share of weight on the benchmark's words.
-    own = own_sum[end] - own_sum[start]
-    near = (own >= NEAR * (all_sum[end] - all_sum[start])) & (own > 0)
+    near = own_sum[end] - own_sum[start] >= COSINE**2 * (all_sum[end] - all_sum[start])
     start, end, owner = start[near], end[near], owner[near]
+    known = np.flatnonzero(at >= 0)
+    seen = np.zeros(len(index.basis) + 1, bool)  # the last for words outside the benchmark
+    size = np.array([len(w) for w in index.words])
+    places: dict[int, np.ndarray] = {}
     for low in range(0, len(start), 2048):
         s, e, o = (x[low : low + 2048] for x in (start, end, owner))
-        grid = s[:, None] + np.arange(PASSAGE)[None, :]
-        inside = grid < e[:, None]
-        grid = np.minimum(grid, len(word) - 1)
-        row = at[grid]
-        value = weight[grid] * (inside & (row >= 0))
-        vector = np.einsum("ij,ijk->ik", value, index.basis[np.maximum(row, 0)])
+        vector = projected(s, e, known, at, weight, index.basis)
         length = np.linalg.norm(vector, axis=1, keepdims=True)
         cosine = (vector / np.maximum(length, 1e-9)) @ index.latent.T
-        for p, i in zip(*np.nonzero(cosine >= COSINE)):
+        p, i = np.nonzero(cosine >= COSINE)
+        begin, stop = np.maximum(first[o[p]], s[p] - size[i]), np.minimum(first[o[p] + 1], e[p] + size[i])
+        for p, i, text, begin, stop in zip(p.tolist(), i.tolist(), o[p].tolist(), begin.tolist(), stop.tolist()):
+            if i in found.get(text, ()):
+                continue
             item = index.words[i]
-            text = int(o[p])
-            if i in found.get(text, {}) or not len(item):
+            if i not in places:
+                places[i] = index.place[bucket_of(item)]
+            # The subsequence is no longer than the number of the item's words in the region.
+            seen[at[begin:stop]] = True
+            held = np.count_nonzero(seen[places[i]])
+            seen[at[begin:stop]] = False
+            if not len(item) or held < COMMON * len(item):
                 continue
-            begin, stop = max(first[text], s[p] - len(item)), min(first[text + 1], e[p] + len(item))
             region = word[begin:stop]
             share = common_length(item, region) / len(item)
             if share < COMMON:

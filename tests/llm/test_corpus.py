@@ -204,6 +204,26 @@ def test_benchmark_passages_and_paraphrases_are_found(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()} == expected
 
 
+@pytest.mark.parametrize("size", [12, 300])
+def test_an_item_copied_into_a_third_of_the_documents_is_found(spark, size):
+    items = [prose(30, 1100 + i) for i in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [prose(size, i) + (" " + items[2] if i % 3 == 0 else "") for i in range(180)]
+    got = decontam.contaminated(documents(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 2) for i in range(0, 180, 3)}
+
+
+def test_projected_passages_equal_sums_of_their_words():
+    rng = np.random.default_rng(8)
+    first = np.concatenate([[0], np.cumsum([5, 0, 16, 17, 32, 33, 48, 70, 1])])
+    at, weight = rng.integers(-1, 9, first[-1]), rng.random(first[-1], np.float32)
+    basis = rng.standard_normal((9, 4)).astype(np.float32)
+    start, end, _ = decontam.passages(first)
+    got = decontam.projected(start, end, np.flatnonzero(at >= 0), at, weight, basis)
+    for vector, a, b in zip(got, start, end):
+        assert np.allclose(vector, sum(weight[k] * basis[at[k]] for k in range(a, b) if at[k] >= 0), atol=1e-5)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):
