@@ -13,8 +13,9 @@ labelled rows the models have not seen.
 
 Labels are read only from rows in the training part: crc32(doc_id as text) mod 3 is
 not 1. The class models may be fitted on a bounded sample of those (LABELLED rows,
-smallest hashes of the id) and keep at most MODEL_ROWS counts; the shared model
-counts all documents and has a row per byte triple. Only these go to every task.
+smallest hashes of the id) and keep every gram counted twice or more, so their size
+follows the sample, not the corpus; the shared model counts all documents and has a row per
+byte triple. Only these go to every task.
 
 Defined results: NULL, empty and blank texts have no evidence and the lowest score;
 a NULL doc_id is not held out and never labelled; a document labelled twice counts
@@ -28,21 +29,18 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, lower_ascii, prefix_sums, scramble, window_hashes, words
 from seriesloom.llm.tables import batch_of, buffer_of, slices
-from seriesloom.session import cut_lineage
 
 ORDER = 8
 DISCOUNT = 0.95
 NOISE = 2.0  # nats a word's ratio must exceed
 THRESHOLD = 0.7
 LABELLED = 20_000
-MODEL_ROWS = 1 << 18
 SEED = 104_729
 SLICE = 1 << 20
 LEAST_EVIDENCE = 1e-3
@@ -173,19 +171,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _largest(grams: DataFrame, rows: int = MODEL_ROWS) -> pd.DataFrame:
-    """The most frequent grams: all down to the least count that keeps them within ``rows``."""
-    size = F.col("n0") + F.col("n1")
-    counts = sorted(grams.groupBy(F.least(size, F.lit(1000)).alias("s")).count().collect(), reverse=True)
-    least, n = 1000, 0
-    for s, more in counts:
-        n += more
-        if n > rows:
-            break
-        least = s
-    return grams.filter(size >= least).toPandas()
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     ids, toxic = labelled(labels)
     apart = scramble(ids.view(U64), 31) % U64(5) == 0  # kept from the models for the calibration
@@ -194,16 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     counted = docs.select("doc_id", "text").mapInArrow(_counts(ids[~apart], toxic[~apart]), "gram long, context long, n0 long, n1 long")
     grams = counted.groupBy("gram", "context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # What one document alone has is discounted away.
-    gram = _largest(cut_lineage(grams.filter("n0 + n1 > 1")))
-    gram["k0"], gram["k1"] = (gram["n0"] > 0).astype(int), (gram["n1"] > 0).astype(int)
-    context = gram.groupby("context", as_index=False)[["n0", "n1", "k0", "k1"]].sum()
-
-    def sorted_by(frame: pd.DataFrame, key: str, *columns: str) -> tuple[np.ndarray, np.ndarray]:
-        keys = frame[key].to_numpy(np.int64).view(U64)
-        order = np.argsort(keys)
-        return keys[order], frame[list(columns)].to_numpy(np.float32)[order]
-
-    model = Model(shared_model(docs), *sorted_by(gram, "gram", "n0", "n1"), *sorted_by(context, "context", "n0", "n1", "k0", "k1"))
+    gram, context, n0, n1 = (c.to_numpy() for c in grams.filter("n0 + n1 > 1").select("gram", "context", "n0", "n1").toArrow().columns)
+    order = np.argsort(gram.view(U64))
+    gram_n = np.column_stack([n0, n1]).astype(np.float32)[order]
+    keys, of = np.unique(context.view(U64), return_inverse=True)
+    context_n = np.column_stack([np.bincount(of, weights=w, minlength=len(keys)).astype(np.float32) for w in (n0, n1, n0 > 0, n1 > 0)])
+    model = Model(shared_model(docs), gram.view(U64)[order], gram_n, keys, context_n)
     return calibrated(model, docs, ids[apart], toxic[apart])
 
 

@@ -313,6 +313,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.allclose(again.score, got.score)
 
 
+def test_toxicity_models_keep_every_counted_gram(spark):
+    import zlib
+    from collections import Counter
+
+    ids = np.arange(400)
+    ids = ids[toxicity.scramble(ids.view(np.uint64), 31) % np.uint64(5) != 0]
+    ids = [int(i) for i in ids if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    letters = np.random.default_rng(12).choice(list("abcdefghijklmnopqrstuvwxyz"), (30, 1500, 10))
+    texts = [" ".join(map("".join, part)) for part in letters] * 2
+    toxic = [k % 3 == 0 for k in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)], DOCS)
+    model = toxicity.fit(docs, labels(spark, [(i, 1, int(t)) for i, t in zip(ids, toxic)]))
+    counts = Counter()
+    for text, kind in zip(texts, toxic):
+        for word in set(text.split()):
+            edged = f" {word} "
+            counts.update((edged[max(0, k - toxicity.ORDER + 1) : k], edged[k], kind) for k in range(1, len(edged)))
+    both = Counter()
+    for (context, byte, _), n in counts.items():
+        both[context, byte] += n
+    kept = {key: n for key, n in both.items() if n > 1}
+    assert len(model.gram) == len(kept) > 1 << 18
+    assert model.gram_n.sum(0).tolist() == [sum(n for (c, b, k), n in counts.items() if k == kind and (c, b) in kept) for kind in (0, 1)]
+    assert len(model.context) == len({context for context, _ in kept}) and (np.diff(model.gram.astype(object)) > 0).all()
+    assert np.allclose(model.context_n[:, :2].sum(0), model.gram_n.sum(0)) and (model.context_n[:, 2:].sum(0) == (model.gram_n > 0).sum(0)).all()
+
+
 def shingles(text, size):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
