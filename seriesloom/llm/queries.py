@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm import chunking, decontam, fingerprints, html_text, mixing, near_dup, pii, resampling, suffixes, toxicity
+from seriesloom.llm import (
+    byte_bpe, chunking, decontam, fingerprints, html_text, mixing, near_dup, pii, prefix_trie, resampling, suffixes, toxicity, word_runs,
+)
 from seriesloom.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +70,31 @@ def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = word_runs.word_runs(word_runs.with_repeated_tail(table(spark, folder, "documents")))
+    best = word_runs.strongest(F.col("runs"))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(word_runs.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = byte_bpe.vocabulary()
+    back = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), ranks, pattern), ranks)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
