@@ -41,7 +41,7 @@ from seriesloom.operators.position import with_pos
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
-CONTAINER = 50_000  # turns of the suffixes that one container holds at most
+CONTAINER = 2_048  # turns of the suffixes that one container holds at most
 SWEPT = 50_000  # turns gathered before their containers are swept
 BLOCK = 1_024  # turns of one conversation in one window
 PIECE = 50_000  # conversation ids in one piece of the list of a node
