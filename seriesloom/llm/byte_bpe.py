@@ -29,7 +29,6 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import uuid
 from collections import defaultdict
@@ -43,19 +42,19 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import batch_of, list_array, slices
+from seriesloom.llm.tables import batch_of, buffer_of, list_array, slices
 from seriesloom.session import run_folder
 
 BLOCK_WORDS = 400_000  # distinct words of a block
 BLOCK_PLACES = 8_000_000  # pre-tokens of a block
 HELD_WORDS = 500_000  # encoded words a task holds before it passes them on
 LONG_PIECE = 200  # bytes from which a heap finds the next merge
-PUT_TOGETHER = 1_000_000  # pre-tokens put together at a time
+PUT_TOGETHER = 500_000  # pre-tokens put together, and ids decoded, at a time
 
 BLOCKS = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_id", pa.int64()), ("places", pa.binary())])
-CODES = pa.schema([("block", pa.int64()), ("numbers", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
-ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+CODES = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,8 +120,10 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def packed_numbers(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers in as many bytes of seven bits as they need, and where each begins (one more entry)."""
-    size = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14) + (numbers >= 1 << 21).astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])
+    size = np.ones(len(numbers), np.int8)
+    for k in range(1, 4):
+        size += numbers >= 1 << 7 * k
+    begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     out = np.empty(int(begin[-1]), np.uint8)
     for k in range(4):
         has = size > k
@@ -140,20 +141,54 @@ def unpacked_numbers(data: np.ndarray) -> np.ndarray:
     return value
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Pieces of a buffer of bytes as a binary column."""
+    data = np.ascontiguousarray(data).view(np.uint8)
+    column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    return column.cast(pa.binary())
+
+
+def packed_lists(numbers: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Lists of numbers, between ``edge``, packed."""
+    data, begin = packed_numbers(numbers)
+    return binary_array(data, begin[edge])
+
+
+def together(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Runs of texts with about PUT_TOGETHER numbers each; a longer text stands alone."""
+    some, total = [], 0
+    for text in texts:
+        if some and total + len(text) > PUT_TOGETHER:
+            yield some
+            some, total = [], 0
+        some.append(text)
+        total += len(text)
+    if some:
+        yield some
+
+
+def unpacked_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [unpacked_numbers(np.frombuffer(x.as_buffer(), np.uint8)) for x in column]
+
+
 def _in_blocks(pattern: str, most_words: int, most_places: int):
     """Rows of blocks: one with the words, most frequent first, and one per text with their numbers."""
 
-    def block_rows(block: int, known: dict[str, int], ids: list[int | None], texts: list[np.ndarray]) -> pa.RecordBatch:
-        numbers = np.concatenate([np.empty(0, np.int64), *texts])
-        order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")
-        rank = np.empty(len(known), np.int64)
-        rank[order] = np.arange(len(known))
-        names = pa.array(list(known), pa.string()).take(pa.array(order))
-        ends = np.cumsum([0] + [len(t) for t in texts])
-        flat, begin = packed_numbers(rank[numbers])
-        column = pa.array([None, *[flat[a:b].tobytes() for a, b in zip(begin[ends[:-1]], begin[ends[1:]])]], pa.binary())
-        words = pa.ListArray.from_arrays(pa.array([0] + [len(known)] * (len(ids) + 1), pa.int32()), names)
-        return batch_of(BLOCKS, [block] * (len(ids) + 1), words, [None, *ids], column)
+    def block_rows(block: int, known: dict[str, int], ids: list[int | None], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(known), np.int64)
+        for some in together(texts):
+            counts += np.bincount(np.concatenate(some), minlength=len(known))
+        order = np.argsort(-counts, kind="stable").astype(np.int32)
+        rank = np.empty(len(known), np.int32)
+        rank[order] = np.arange(len(known), dtype=np.int32)
+        names = pa.array(known, pa.string()).take(pa.array(order))
+        yield batch_of(BLOCKS, [block], list_array(names, np.array([0, len(known)])), [None], [None])
+        row = 0
+        for some in together(texts):
+            n = len(some)
+            column = packed_lists(rank[np.concatenate(some)], np.cumsum([0] + [len(t) for t in some]))
+            yield batch_of(BLOCKS, [block] * n, [None] * n, ids[row : row + n], column)
+            row += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern).findall
@@ -163,16 +198,16 @@ def _in_blocks(pattern: str, most_words: int, most_places: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id"), part.column("text")):
-                    numbers = np.array([known[piece] for piece in cut(text.as_py() or "")], np.int64)
+                    numbers = np.array([known[piece] for piece in cut(text.as_py() or "")], np.int32)
                     ids.append(doc_id.as_py())
-                    texts.append(numbers.astype(np.int32))
+                    texts.append(numbers)
                     places += len(numbers)
                     if len(known) >= most_words or places >= most_places:
-                        yield block_rows(block, known, ids, texts)
+                        yield from block_rows(block, known, ids, texts)
                         block, places, ids, texts = block + 1, 0, [], []
                         known = defaultdict(count().__next__)
         if ids:
-            yield block_rows(block, known, ids, texts)
+            yield from block_rows(block, known, ids, texts)
 
     return run
 
@@ -184,8 +219,7 @@ def in_blocks(docs: DataFrame, pattern: str, most_words: int = BLOCK_WORDS, most
     name = f"blocks_{uuid.uuid4().hex}"
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.write.bucketBy(buckets, "block").option("path", run_folder(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    written = spark.table(name)
-    written.schema, written.rdd  # noqa: B018 - the plan now knows the files without the catalog
+    written = spark.table(name)  # from here on the plan knows the files and their buckets
     spark.sql(f"DROP TABLE {name}")
     return written
 
@@ -195,14 +229,16 @@ def _encode_sorted(ranks: Broadcast):
 
     def passed_on(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         block, number, size, ids = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort([number, block])
         begin = np.cumsum(size) - size
         sizes = size[order]
         flat = ids[np.repeat(begin[order], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
         blocks, first = np.unique(block[order], return_index=True)
         edge = np.append(first, len(order))
         ends = np.concatenate([[0], np.cumsum(sizes)])[edge]
-        return batch_of(CODES, blocks, list_array(number[order], edge), list_array(sizes.astype(np.int32), edge), list_array(flat, ends))
+        step = np.diff(number[order], prepend=0)
+        step[first] = number[order][first]
+        return batch_of(CODES, blocks, packed_lists(step, edge), packed_lists(sizes, edge), packed_lists(flat, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
@@ -235,11 +271,10 @@ def _encode_sorted(ranks: Broadcast):
 def _put_together(codes: pa.Table, texts: pa.Table) -> pa.Table:
     """The ids of each text of one block."""
 
-    def flat(name: str) -> np.ndarray:
-        chunks = [c.flatten().to_numpy() for c in codes.column(name).chunks]
-        return np.concatenate([np.empty(0, np.int32), *chunks])
-
-    number, size, ids = flat("numbers"), flat("sizes").astype(np.int64), flat("ids")
+    empty = np.empty(0, np.int64)
+    number = np.concatenate([empty, *[np.cumsum(x) for x in unpacked_lists(codes.column("numbers"))]])
+    size = np.concatenate([empty, *unpacked_lists(codes.column("sizes"))])
+    ids = np.concatenate([empty, *unpacked_lists(codes.column("ids"))]).astype("<u4")
     begin, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     begin[number], length[number] = np.cumsum(size) - size, size
     out, row = [], 0
@@ -256,21 +291,21 @@ def _put_together(codes: pa.Table, texts: pa.Table) -> pa.Table:
         step = np.arange(int(reach[-1])) - np.repeat(reach[:-1], sizes)
         edge = np.cumsum([0] + [len(x) for x in some])
         values = ids[np.repeat(begin[numbers], sizes) + step]
-        out.append(batch_of(ENCODED, texts.column("doc_id").slice(row, len(some)).combine_chunks(), list_array(values.astype(np.int32), reach[edge])))
+        out.append(batch_of(ENCODED, texts.column("doc_id").slice(row, len(some)).combine_chunks(), binary_array(values, 4 * reach[edge])))
         row += len(some)
     return pa.Table.from_batches(out, ENCODED)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most_words: int = BLOCK_WORDS, most_places: int = BLOCK_PLACES) -> DataFrame:
-    """doc_id and ids of every row of ``docs`` (doc_id, text)."""
+    """doc_id and ids of every row of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit numbers, as `id_list` shows."""
     blocks = in_blocks(docs, pattern, most_words, most_places)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     words = blocks.where("places IS NULL").select("block", F.posexplode("words").alias("number", "word"))
     # One shuffle: rows of a word arrive next to each other, however many blocks hold it.
     routed = words.repartition("word").sortWithinPartitions("word")
-    codes = routed.mapInArrow(_encode_sorted(shared), "block long, numbers array<int>, sizes array<int>, ids array<int>")
+    codes = routed.mapInArrow(_encode_sorted(shared), "block long, numbers binary, sizes binary, ids binary")
     texts = blocks.where("places IS NOT NULL").select("block", "doc_id", "places")
-    return codes.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids array<int>")
+    return codes.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_put_together, "doc_id long, ids binary")
 
 
 class TokenBytes:
@@ -286,27 +321,13 @@ class TokenBytes:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of lists of ids that lie between ``offsets``."""
-        size = self.size[ids]
-        if (size < 0).any():
+        known = ids < len(self.size)
+        size = self.size[np.where(known, ids, 0)]
+        if not known.all() or (size < 0).any():
             raise ValueError("an id is not in the vocabulary")
         reach = np.concatenate([[0], np.cumsum(size)])
         data = self.data[np.repeat(self.begin[ids] - reach[:-1], size) + np.arange(int(reach[-1]))]
-        ends = reach[offsets].astype(np.int64)
-        column = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
-        return column.cast(pa.binary())
-
-
-def _id_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about PUT_TOGETHER ids each, their ids and where those of each row begin."""
-    column = batch.column("ids")
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    first = 0
-    while first < batch.num_rows:
-        last = int(np.searchsorted(offsets, offsets[first] + PUT_TOGETHER, "right")) - 1
-        last = min(max(last, first + 1), batch.num_rows)
-        values = column.values.slice(offsets[first], offsets[last] - offsets[first]).to_numpy()
-        yield batch.slice(first, last - first), values, offsets[first : last + 1] - offsets[first]
-        first = last
+        return binary_array(data, reach[offsets])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -315,21 +336,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, ids, offsets in _id_slices(batch):
-                yield batch_of(DECODED, part.column("doc_id"), part.column("ids"), table.value.decode(ids, offsets))
+            for part in slices(batch, "ids", 4 * PUT_TOGETHER):
+                data, offsets = buffer_of(part.column("ids"))
+                yield batch_of(DECODED, part.column("doc_id"), part.column("ids"), table.value.decode(data.view("<u4"), offsets // 4))
 
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def ids_sha256(ids: Column) -> Column:
-    """Lowercase hex SHA-256 of the ids as little-endian unsigned 32-bit numbers."""
+def id_list(ids: Column) -> Column:
+    """The ids of a text as an array."""
 
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-        return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+    @F.arrow_udf("array<long>")
+    def listed(column: pa.Array) -> pa.Array:
+        data, offsets = buffer_of(column)
+        return list_array(data.view("<u4").astype(np.int64), offsets // 4)
 
-    return digest(ids)
+    return listed(ids)
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:

@@ -60,6 +60,6 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def list_array(values: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
     """A list column over a flat array."""
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
