@@ -47,7 +47,7 @@ def gram_of(df: DataFrame, keys: list[str], vector: Column, size: int) -> DataFr
         for batch in batches:
             if batch.empty:
                 continue
-            matrix = np.stack(batch["_x"].to_numpy()).astype(float)
+            matrix = np.concatenate(batch["_x"].to_numpy()).astype(float).reshape(len(batch), size)
             whole = ~np.isnan(matrix).any(axis=1)
             matrix, batch = matrix[whole], batch[whole]
             for key, at in batch.groupby(keys, sort=False, dropna=False).indices.items():
@@ -64,12 +64,25 @@ def gram_of(df: DataFrame, keys: list[str], vector: Column, size: int) -> DataFr
     return summed(rows.mapInPandas(partial, schema), keys)
 
 
+def plain(value):
+    """A key as pandas hands it on: a missing one as None, a whole number as such."""
+    if value is None or value != value:
+        return None
+    return int(value) if isinstance(value, float) and value.is_integer() else value
+
+
+def frame_of(rows: list[dict], columns: list[str], keys: list[str]) -> pd.DataFrame:
+    """Rows as a frame whose keys keep their own type, NULL included."""
+    out = pd.DataFrame(rows, columns=columns)
+    for k in keys:
+        out[k] = pd.Series([plain(r[k]) for r in rows], dtype=object)
+    return out
+
+
 def packed(held: dict, keys: list[str]) -> pd.DataFrame:
     names = [k if isinstance(k, tuple) else (k,) for k in held]
-    out = pd.DataFrame(names, columns=keys)
-    out["n"] = [n for n, _ in held.values()]
-    out["cells"] = [cells.tolist() for _, cells in held.values()]
-    return out
+    rows = [{**dict(zip(keys, k)), "n": n, "cells": cells.tolist()} for k, (n, cells) in zip(names, held.values())]
+    return frame_of(rows, [*keys, "n", "cells"], keys)
 
 
 def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,6 +117,35 @@ def solved(matrix: np.ndarray, rhs: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(matrix, rcond=1e-10, hermitian=True) @ rhs
 
 
+def sparse_solved(matrix: np.ndarray, rhs: np.ndarray, l1: np.ndarray, l2: np.ndarray | float = 0.0, sweeps: int = 20_000) -> np.ndarray:
+    """The b with the least ``b'Mb / 2 - b'r + sum(l1 |b|) + sum(l2 b^2) / 2``, by coordinate descent.
+
+    Each step solves for one coefficient and pulls it towards 0 by its ``l1``. Now
+    and then the system of the coefficients that are not 0 is solved as a whole;
+    where that keeps their signs and asks for no other coefficient, it is the answer.
+    """
+    m = matrix + np.diag(np.broadcast_to(np.asarray(l2, float), rhs.shape))
+    scale = np.diag(m).copy()
+    b = np.zeros(len(rhs))
+    rest = np.asarray(rhs, float).copy()  # rhs - m @ b
+    for sweep in range(1, sweeps + 1):
+        for j in np.flatnonzero(scale > 0):
+            pull = rest[j] + scale[j] * b[j]
+            new = np.sign(pull) * max(abs(pull) - l1[j], 0.0) / scale[j]
+            if new != b[j]:
+                rest -= m[:, j] * (new - b[j])
+                b[j] = new
+        if sweep in (5, 20) or sweep % 50 == 0:
+            on = (b != 0) | (l1 == 0)
+            whole = np.zeros(len(rhs))
+            whole[on] = solved(m[np.ix_(on, on)], rhs[on] - l1[on] * np.sign(b[on]))
+            left = rhs - m @ whole
+            slack = 1e-9 * (1.0 + np.abs(rhs).max())
+            if (np.sign(whole) == np.sign(b))[on & (l1 > 0)].all() and (np.abs(left[~on]) <= l1[~on] + slack).all():
+                return whole
+    return b
+
+
 def per_key(grams: DataFrame, keys: list[str], fields: str, solve: Callable[..., list[dict]], extra: list[str] | None = None) -> DataFrame:
     """Apply ``solve(cells, n, row)`` to each key's matrix; it returns rows with the ``fields`` (a DDL string).
 
@@ -118,7 +160,7 @@ def per_key(grams: DataFrame, keys: list[str], fields: str, solve: Callable[...,
             for row in batch.to_dict("records"):
                 for answer in solve(np.asarray(row["cells"], dtype=float), int(row["n"]), row):
                     out.append({**{k: row[k] for k in keys}, **answer})
-            yield pd.DataFrame(out, columns=columns.names)
+            yield frame_of(out, columns.names, keys)
 
     return grams.select(*keys, "n", "cells", *extra).mapInPandas(run, columns)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import dot
 from seriesloom.operators import scale
 from seriesloom.operators.gram import gram, regress
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.position import over_blocks
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
@@ -39,14 +40,14 @@ def fit_delta(df: DataFrame, spec: SeriesSpec, seq_len: int = 10, penalty: float
     xs = ["one", *window_columns(spec, seq_len)]
     grams = gram(rows, keys, [*xs, "_change"])
     fitted = regress(grams, keys, [*xs, "_change"], xs, "_change", {c: penalty for c in xs[1:]})
-    return cut_lineage(fitted.select(*keys, "betas").join(scaler, keys))
+    return cut_lineage(join_on(fitted.select(*keys, "betas"), scaler, keys))
 
 
 def predict_delta(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int = 10) -> DataFrame:
     """Previous true value plus the expected change, in the units of the target."""
     keys = list(spec.keys)
     scaler = params.drop("betas")
-    rows = with_window(scale.scale(df, scaler, spec, keep=True), spec, seq_len).join(params.select(*keys, "betas"), keys)
+    rows = join_on(with_window(scale.scale(df, scaler, spec, keep=True), spec, seq_len), params.select(*keys, "betas"), keys)
     change = dot("betas", ["one", *window_columns(spec, seq_len)])
     known = F.col(f"{spec.value}_1")
     rows = rows.withColumns({"_change": change, "_known": known, "_truth": F.col(spec.value)})
@@ -68,7 +69,7 @@ def fit_window_residual(
     keys = list(spec.keys)
     rows, xs = _residual_design(df, spec, seq_len)
     missed = forecast.where(F.col("phase") == "val").select(*keys, spec.time, (F.col("y_true") - F.col("yhat")).alias("_miss"))
-    grams = gram(rows.join(missed, [*keys, spec.time]), keys, [*xs, "_miss"])
+    grams = gram(join_on(rows, missed, [*keys, spec.time]), keys, [*xs, "_miss"])
     return cut_lineage(regress(grams, keys, [*xs, "_miss"], xs, "_miss", alpha).select(*keys, "betas"))
 
 
@@ -78,8 +79,8 @@ def apply_window_residual(
     """Add the expected residual to every forecast that has a window; others stay."""
     keys = list(spec.keys)
     rows, xs = _residual_design(df, spec, seq_len)
-    expected = rows.join(params, keys).select(*keys, spec.time, dot("betas", xs).alias("_expected"))
-    joined = forecast.join(expected, [*keys, spec.time], "left")
+    expected = join_on(rows, params, keys).select(*keys, spec.time, dot("betas", xs).alias("_expected"))
+    joined = join_on(forecast, expected, [*keys, spec.time], "left")
     return joined.withColumn("corrected", F.col("yhat") + F.coalesce("_expected", F.lit(0.0))).drop("_expected")
 
 

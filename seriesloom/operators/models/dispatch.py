@@ -24,24 +24,33 @@ def _naive(df: DataFrame, spec: SeriesSpec) -> Result:
     return naive_forecast(df, spec, F.col("phase")), None
 
 
-def _arima(df: DataFrame, spec: SeriesSpec, mode: str = "smart", calibrate: bool = True, season: int = 7, **settings) -> Result:
+def _arima(df: DataFrame, spec: SeriesSpec, mode: str = "rolling", calibrate: bool = True, season: int = 7, **settings) -> Result:
+    """``rolling`` searches the orders again while it goes, ``smart`` once, on the training rows; ``plain`` is an autoregression."""
     keys = list(spec.keys)
+    if mode not in ("rolling", "smart", "plain"):
+        raise ValueError(f"unknown mode {mode!r}")
     scaler = scale.fit_scaler(df, spec, [spec.value])
     moved = scale.scale(df, scaler, spec, [spec.value])
     train = moved.where(F.col("phase") == "train")
+    params = None
     if mode == "plain":
         params = ar.fit_plain(train, spec, **settings)
         scored = ar.one_step(moved, params, spec, **settings)
-    else:
+    elif mode == "smart":
         params = ar.fit_smart(train, spec, season, **settings)
         scored = ar.one_step_smart(moved, params, spec, season, **settings)
+    else:
+        made = cut_lineage(ar.rolling_search(moved, spec, season, **settings))
+        chosen = ["refit_pos", "p", "q", "sp", "sq", "criterion", "fallback"]
+        params = made.select(*keys, *chosen).distinct()
+        scored = made.drop(*chosen).withColumnRenamed("y_true", spec.value)
     target = scaler.select(*keys, *scale.parameter_columns([spec.value]))
     scored = scored.withColumnRenamed(spec.value, "y_true")
-    out = scored.join(target, keys).withColumns({c: scale.unscaled(c, spec.value) for c in ("y_true", "yhat")})
+    out = join_on(scored, target, keys).withColumns({c: scale.unscaled(c, spec.value) for c in ("y_true", "yhat")})
     out = out.select(*keys, spec.time, "pos", "n", "phase", "y_true", "yhat")
     if calibrate:
         out = calibrate_spread(calibrate_bias(out, spec, season).drop("bias"), spec, season).drop("ratio")
-    return out, params.join(target, keys)
+    return out, join_on(params, target, keys)
 
 
 def _trend(df: DataFrame, spec: SeriesSpec, n_changepoints: int = 25, seasonalities: tuple[str, ...] = ("yearly",), **settings) -> Result:
@@ -71,7 +80,7 @@ def _horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: int =
     params = horizon.fit_horizon(df, spec, seq_len, pred_len, **settings)
     merged = horizon.segment_forecast(df, params, spec, seq_len, pred_len)
     places = df.select(*spec.keys, spec.time, "pos", "n", "phase")
-    return merged.join(places, [*spec.keys, spec.time]), params
+    return join_on(merged, places, [*spec.keys, spec.time]), params
 
 
 MODELS: dict[str, Callable[..., Result]] = {

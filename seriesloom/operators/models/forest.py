@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import scale
 from seriesloom.operators.features import lag_names, with_lags
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.metrics import best, mape_stable
 from seriesloom.operators.post import clamp_positive, smooth
 from seriesloom.operators.split import fold_role
@@ -84,7 +85,7 @@ def search_forest(
     a distributed fit, and only its error comes back.
     """
     sizes = cut_lineage(rows.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("_first")))
-    sized = rows.drop("n").join(sizes, list(spec.keys))
+    sized = join_on(rows.drop("n"), sizes, spec.keys)
     stored = cut_lineage(sized.withColumn("pos", F.col("pos") - F.col("_first")).drop("_first"))
     results = []
     for trial, settings in enumerate(random_settings(trials, seed, space)):

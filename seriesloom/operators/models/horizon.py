@@ -62,7 +62,7 @@ def fit_horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: in
     rows = over_blocks(train.select(*keys, "pos", spec.value), spec, look, before=seq_len - 1, after=pred_len)
     grams = gram(rows.withColumn("one", F.lit(1.0)), keys, ["one", *xs, *ys])
     fitted = regress_many(grams, keys, ["one", *xs, *ys], ["one", *xs], ys, penalty)
-    return cut_lineage(fitted.select(*keys, "betas").join(scaler, keys))
+    return cut_lineage(join_on(fitted.select(*keys, "betas"), scaler, keys))
 
 
 def unscaled_betas(value: str) -> Column:
@@ -130,7 +130,7 @@ def dense_last(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int,
     needed = df.where(F.col("pos") >= F.col("n") - k - seq_len)
     rows = predict_rolling(needed, params, spec, seq_len, 1)
     sizes = df.groupBy(*spec.keys).agg(F.max("n").alias("n"))
-    return rows.join(cut_lineage(sizes), list(spec.keys)).where(F.col("pos") >= F.col("n") - k).drop("n", "origin", "step")
+    return join_on(rows, cut_lineage(sizes), spec.keys).where(F.col("pos") >= F.col("n") - k).drop("n", "origin", "step")
 
 
 def predict_next(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, grid: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Piecewise-linear trend plus seasonality, fitted by ridge regression per series."""
+"""Piecewise-linear trend plus seasonality, fitted per series under priors on its coefficients.
+
+The changes of slope have Laplace priors, so most of them are exactly 0, or normal
+ones; all other coefficients have normal priors. Both are solved on the matrix of
+one pass.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.calendar import SEASONALITIES, epoch_days, fourier_terms, hinge_terms
 from seriesloom.functions.columns import weighted_sum
-from seriesloom.operators.gram import gram_of, per_key, solved, square
+from seriesloom.operators.gram import gram_of, per_key, solved, sparse_solved, square
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.metrics import best, mape_classic
 from seriesloom.session import cut_lineage
 from seriesloom.sources.resample import step_after
@@ -29,6 +35,7 @@ GRID = {
     "seasonality_scale": (5.0, 10.0, 20.0),
 }
 BASE_SCALE, DEFAULT_SEASONALITY_SCALE = 5.0, 10.0
+PRIORS = ("laplace", "normal")
 
 
 @dataclass(frozen=True)
@@ -62,7 +69,7 @@ def training_span(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def with_basis(df: DataFrame, spans: DataFrame, spec: SeriesSpec, shape: Shape) -> DataFrame:
     """Trend and seasonal terms as the arrays ``trend`` and ``season``; time runs from 0 to 1 over the training rows."""
-    rows = df.join(spans, list(spec.keys)).withColumn("_day", epoch_days(spec.time))
+    rows = join_on(df, spans, spec.keys).withColumn("_day", epoch_days(spec.time))
     t = F.coalesce(F.try_divide(F.col("_day") - F.col("day0"), F.col("day1") - F.col("day0")), F.lit(0.0))
     rows = rows.withColumn("_t", t)
     trend = {"one": F.lit(1.0), "t": F.col("_t")} | hinge_terms(F.col("_t"), shape.n_changepoints)
@@ -79,22 +86,28 @@ def _weights(shape: Shape, names: list[str], changepoint_scale: float, seasonali
     return np.array([1.0 / scale.get(c, seasonality_scale if c in season else changepoint_scale) ** 2 for c in names])
 
 
-def _shrunk(g: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    """Most likely coefficients under normal priors; the noise comes from a nearly free fit."""
+def _shrunk(g: np.ndarray, n: int, weights: np.ndarray, laplace: np.ndarray) -> np.ndarray:
+    """Most likely coefficients, where ``laplace`` under Laplace and else under normal priors; the noise comes from a nearly free fit."""
     x, y = g[:-1, :-1], g[:-1, -1]
     free = solved(x + 1e-6 * np.eye(len(y)), y)
     noise = max(g[-1, -1] - 2 * free @ y + free @ x @ free, 0.0) / max(n - len(y), 1)
-    return solved(x + np.diag(max(noise, 1e-12) * weights), y)
+    noise = max(noise, 1e-12)
+    if not laplace.any():
+        return solved(x + np.diag(noise * weights), y)
+    return sparse_solved(x, y, np.where(laplace, noise * np.sqrt(weights), 0.0), np.where(laplace, 0.0, noise * weights))
 
 
-def _solutions(grams: DataFrame, keys: list[str], shape: Shape, names: list[str], scales: list[tuple[float, float]]) -> DataFrame:
+def _solutions(grams: DataFrame, keys: list[str], shape: Shape, names: list[str], scales: list[tuple[float, float]], prior: str) -> DataFrame:
     """Coefficients per key and pair of prior scales, all from one matrix per key."""
-    prior = {s: _weights(shape, names, *s) for s in scales}
+    if prior not in PRIORS:
+        raise ValueError(f"unknown prior {prior!r}, known are {PRIORS}")
+    weights = {s: _weights(shape, names, *s) for s in scales}
+    laplace = np.array([prior == "laplace" and c.startswith("hinge") for c in names])
 
     def solve(cells, n, row):
         g = square(cells, len(names) + 1)
         return [
-            {"changepoint_scale": s[0], "seasonality_scale": s[1], "b": _shrunk(g, n, w).tolist()} for s, w in prior.items()
+            {"changepoint_scale": s[0], "seasonality_scale": s[1], "b": _shrunk(g, n, w, laplace).tolist()} for s, w in weights.items()
         ]
 
     return per_key(grams, keys, "changepoint_scale double, seasonality_scale double, b array<double>", solve)
@@ -106,16 +119,16 @@ def _joint(train: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
     return cut_lineage(gram_of(train, keys, vector, len(shape.trend) + len(shape.season) + 1))
 
 
-def _additive(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
+def _additive(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]], prior: str) -> DataFrame:
     split = len(shape.trend)
-    both = _solutions(joint, keys, shape, [*shape.trend, *shape.season], scales)
+    both = _solutions(joint, keys, shape, [*shape.trend, *shape.season], scales, prior)
     return both.select(
         *keys, "changepoint_scale", "seasonality_scale",
         F.slice("b", 1, split).alias("betas"), F.slice("b", split + 1, len(shape.season)).alias("gammas"),
     ).withColumn("mode", F.lit("additive"))
 
 
-def _multiplicative(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]]) -> DataFrame:
+def _multiplicative(train: DataFrame, joint: DataFrame, keys: list[str], shape: Shape, scales: list[tuple[float, float]], prior: str) -> DataFrame:
     """Trend and seasonality relative to it, fitted in turn; ``scales`` is a full product.
 
     The additive trend gives a first seasonality, the rows without it a better
@@ -127,20 +140,20 @@ def _multiplicative(train: DataFrame, joint: DataFrame, keys: list[str], shape:
 
     def relative(trends: DataFrame, seasonal: list[float]) -> DataFrame:
         level = weighted_sum("betas", "trend")
-        rest = train.join(trends, keys).withColumn("_rest", F.try_divide(F.col("_y"), level) - 1.0)
+        rest = join_on(train, trends, keys).withColumn("_rest", F.try_divide(F.col("_y"), level) - 1.0)
         grams = gram_of(rest, by, F.concat("season", F.array("_rest")), len(shape.season) + 1)
-        return _solutions(grams, by, shape, shape.season, [(1.0, s) for s in seasonal]).drop("changepoint_scale")
+        return _solutions(grams, by, shape, shape.season, [(1.0, s) for s in seasonal], prior).drop("changepoint_scale")
 
-    additive = cut_lineage(_additive(train, joint, keys, shape, firsts).select(*keys, F.col("changepoint_scale").alias("cs"), "betas"))
+    additive = cut_lineage(_additive(train, joint, keys, shape, firsts, prior).select(*keys, F.col("changepoint_scale").alias("cs"), "betas"))
     seasons = cut_lineage(relative(additive, [DEFAULT_SEASONALITY_SCALE]))
     factor = 1.0 + weighted_sum("b", "season")
-    adjusted = train.join(seasons.select(*by, "b"), keys).withColumn("_level", F.try_divide(F.col("_y"), factor))
+    adjusted = join_on(train, seasons.select(*by, "b"), keys).withColumn("_level", F.try_divide(F.col("_y"), factor))
     grams = gram_of(adjusted, by, F.concat("trend", F.array("_level")), len(shape.trend) + 1)
-    refits = _solutions(grams, by, shape, shape.trend, firsts)
+    refits = _solutions(grams, by, shape, shape.trend, firsts, prior)
     trends = cut_lineage(refits.where(F.col("changepoint_scale") == F.col("cs")).select(*by, F.col("b").alias("betas")))
     final = relative(trends, list(dict.fromkeys(s for _, s in scales)))
     return (
-        final.join(trends, by)
+        join_on(final, trends, by)
         .select(*keys, F.col("cs").alias("changepoint_scale"), "seasonality_scale", "betas", F.col("b").alias("gammas"))
         .withColumn("mode", F.lit("multiplicative"))
     )
@@ -154,22 +167,25 @@ def _training(df: DataFrame, spans: DataFrame, spec: SeriesSpec, shape: Shape) -
 def fit_trend(
     df: DataFrame, spec: SeriesSpec, shape: Shape = Shape(), changepoint_scale: float = 0.05,
     seasonality_scale: float = DEFAULT_SEASONALITY_SCALE,
-    mode: str = "additive",
+    mode: str = "additive", prior: str = "laplace",
 ) -> DataFrame:
-    """Coefficients and training span per series from its training rows; needs ``phase``."""
+    """Coefficients and training span per series from its training rows; needs ``phase``.
+
+    ``prior`` is that of the changes of slope: ``laplace`` or ``normal``.
+    """
     keys = list(spec.keys)
     spans = cut_lineage(training_span(df, spec))
     train = _training(df, spans, spec, shape)
     fit = _additive if mode == "additive" else _multiplicative
     joint = _joint(train, keys, shape)
-    return cut_lineage(fit(train, joint, keys, shape, [(changepoint_scale, seasonality_scale)]).join(spans, keys))
+    return cut_lineage(join_on(fit(train, joint, keys, shape, [(changepoint_scale, seasonality_scale)], prior), spans, keys))
 
 
 def predict_trend(df: DataFrame, params: DataFrame, spec: SeriesSpec, shape: Shape = Shape(), name: str = "yhat") -> DataFrame:
     """Forecast for the times in ``df``; with several parameter rows per series one forecast for each."""
     keys = list(spec.keys)
     spans = params.select(*keys, "day0", "day1", "peak").distinct()
-    rows = with_basis(df, spans, spec, shape).join(params.drop("day0", "day1", "peak"), keys)
+    rows = join_on(with_basis(df, spans, spec, shape), params.drop("day0", "day1", "peak"), keys)
     level, season = weighted_sum("betas", "trend"), weighted_sum("gammas", "season")
     y = F.when(F.col("mode") == "additive", level + season).otherwise(level * (1.0 + season))
     return rows.withColumn(name, F.col("peak") * y).drop(
@@ -178,7 +194,7 @@ def predict_trend(df: DataFrame, params: DataFrame, spec: SeriesSpec, shape: Sha
 
 
 def search_trend(
-    df: DataFrame, spec: SeriesSpec, seasonalities: tuple[str, ...] = ("yearly",), grid: dict[str, tuple] = GRID,
+    df: DataFrame, spec: SeriesSpec, seasonalities: tuple[str, ...] = ("yearly",), grid: dict[str, tuple] = GRID, prior: str = "laplace",
 ) -> DataFrame:
     """Validation error of every setting per series, one row each; needs ``phase``.
 
@@ -196,7 +212,7 @@ def search_trend(
         train = _training(df, spans, spec, shape)
         joint = _joint(train, keys, shape)
         fits = {"additive": _additive, "multiplicative": _multiplicative}
-        parts = [fits[mode](train, joint, keys, shape, scales).join(spans, keys) for mode in grid["mode"]]
+        parts = [join_on(fits[mode](train, joint, keys, shape, scales, prior), spans, keys) for mode in grid["mode"]]
         params = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
         forecast = predict_trend(val, params, spec, shape)
         by = [*keys, "changepoint_scale", "seasonality_scale", "mode"]

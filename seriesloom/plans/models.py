@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.columns import dot
 from seriesloom.operators import features, metrics, scale
 from seriesloom.operators.gram import gram, regress
-from seriesloom.operators.models import ar, delta, dispatch, forest, horizon, trend
+from seriesloom.operators.models import ar, arma, delta, dispatch, forest, horizon, trend
 from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.operators.post import fit_residual
 from seriesloom.operators.position import with_pos
@@ -118,10 +118,39 @@ UNIT_ROOT = f"""
            round(between / total, 8) AS strength
     FROM t JOIN strength USING (series_id) JOIN overall USING (series_id)""", SCALED)
 def f_difference_orders(spark, folder):
-    out = ar.difference_orders(scaled_days(spark, folder).where("phase = 'train'"), TARGET)
+    out = ar.difference_orders(scaled_days(spark, folder).where("phase = 'train'"), TARGET, seasonal_test="strength")
     return rounded(rounded(out, 6, "level_t", "diff_t"), 8, "strength")
 
 
+def _root_sql() -> str:
+    """t values of the seasonal-root regression of a weekly season, for one to three lags on the same rows."""
+    steps = []
+    for p in (1, 2, 3):
+        own = ", ".join(f"y[{i}]" for i in range(2, p + 2))
+        before = " - ".join(["{0}[{1}]", "b[1]", *[f"b[{i + 1}] * {{0}}[{{1}} + {i}]" for i in range(1, p + 1)]])
+        steps.append(f"""
+    ar{p} AS (SELECT series_id, [1, {own}, y[1]] AS x FROM parts),
+    {least_squares(f"ar{p}", "series_id", f"a{p}")},
+    full{p} AS (SELECT series_id, [{own}, {before.format("s", 2)}, {before.format("f", 8)}, y[1]] AS x FROM parts JOIN a{p} USING (series_id)),
+    part{p} AS (SELECT series_id, list_concat(x[1:{p + 1}], [x[{p + 3}]]) AS x FROM full{p}),
+    {least_squares(f"full{p}", "series_id", f"g{p}")}, {rss("series_id", f"g{p}")},
+    {least_squares(f"part{p}", "series_id", f"h{p}")}, {rss("series_id", f"h{p}")},
+    t{p} AS (SELECT series_id, {p} AS lags, g{p}_e.n, sign(b[{p + 2}]) * sqrt((h{p}_e.rss - g{p}_e.rss) / (g{p}_e.rss / (g{p}_e.n - {p + 2}))) AS statistic,
+                    g{p}_e.n * ln(g{p}_e.rss / g{p}_e.n) + 2 * {p + 2} AS aic FROM g{p} JOIN g{p}_e USING (series_id) JOIN h{p}_e USING (series_id))""")
+    return f"""
+    WITH lagged AS (SELECT * FROM (SELECT series_id, pos, phase, [z, {lags('z', 11)}] AS l FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY pos))
+                    WHERE pos >= 11 AND phase = 'train'),
+    parts AS (SELECT series_id, [l[i] - l[i + 1] - l[i + 7] + l[i + 8] for i in generate_series(1, 4)] AS y,
+                     [l[i] - l[i + 7] for i in generate_series(1, 5)] AS s, [l[i] - l[i + 1] for i in generate_series(1, 11)] AS f FROM lagged),
+    """ + ",".join(steps) + " SELECT series_id, lags, n, round(statistic, 5) AS statistic, round(aic, 5) AS aic FROM (FROM t1 UNION ALL FROM t2 UNION ALL FROM t3)"
+
+
+@query("f08_seasonal_root", _root_sql(), SCALED)
+def f_seasonal_root(spark, folder):
+    tested = ar.seasonal_root_statistics(scaled_days(spark, folder).where("phase = 'train'"), TARGET)
+    return rounded(tested, 5, "statistic", "aic")
+
+
 @query("m03_order_bounds", """
     WITH sizes AS (SELECT CAST(user_id AS VARCHAR) AS series_id,
                           date_diff('hour', date_trunc('hour', min(ts)), date_trunc('hour', max(ts))) + 1 AS n FROM events GROUP BY 1),
@@ -144,6 +173,22 @@ def m_smart(spark, folder):
     return rows
 
 
+@query("m03_arma_residuals", f"""
+    WITH r AS (
+      SELECT series_id, 0::BIGINT AS pos, [0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS h, z AS last, 0::DOUBLE AS expected FROM scaled WHERE pos = 0
+      UNION ALL
+      SELECT s.series_id, s.pos, list_concat(h[2:7], [s.z - (0.1 + 0.5 * last + 0.3 * h[7] + 0.2 * h[1])]), s.z,
+             0.1::DOUBLE + 0.5::DOUBLE * last + 0.3::DOUBLE * h[7] + 0.2::DOUBLE * h[1]
+      FROM r JOIN scaled s ON s.series_id = r.series_id AND s.pos = r.pos + 1)
+    SELECT series_id, pos, round(expected, 7) + 0.0 AS expected FROM r WHERE pos > 0""", SCALED)
+def m_arma_residuals(spark, folder):
+    rows = scaled_days(spark, folder).withColumnRenamed("value", "w")
+    fixed = rows.select("series_id").distinct().withColumns(
+        {"betas": F.array(*[F.lit(b) for b in (0.1, 0.5, 0.3, 0.2)]), "used": F.array(*[F.lit(i) for i in range(4)])}
+    )
+    return rounded(arma.expectations(rows, fixed, TARGET, ["one", "w_1", "e_1", "e_7"], block=512), 7, "expected")
+
+
 def _refit_sql(source: str) -> str:
     """Expanding refits every third evaluated row, from running sums of products."""
     return f"""
@@ -163,7 +208,7 @@ def _refit_sql(source: str) -> str:
 @query("m04_rolling_refit", _refit_sql("scaled"), SCALED)
 def m_rolling_refit(spark, folder):
     out = ar.rolling_refit(scaled_days(spark, folder), TARGET, p=2, every=3)
-    return rounded(out, 7, "y_true", "yhat").drop("n")
+    return rounded(out, 7, "y_true", "yhat").drop("n", "fallback")
 
 
 @query("m04_rolling_refit_shipments", _refit_sql("""(SELECT 'shipments' AS series_id, ts, pos, value AS z,
@@ -171,7 +216,44 @@ def m_rolling_refit(spark, folder):
 def m_rolling_refit_shipments(spark, folder):
     rows = with_pos(shipments(spark, folder), SHIPMENTS).select("series_id", "ts", "pos", "n", "value")
     out = ar.rolling_refit(rows.withColumn("phase", phase_from_head()), SHIPMENTS, p=2, every=3)
-    return rounded(out, 7, "y_true", "yhat").drop("n")
+    return rounded(out, 7, "y_true", "yhat").drop("n", "fallback")
+
+
+ROLLING_SEARCH = f"""
+    WITH lagged AS (SELECT * FROM (
+      SELECT series_id, ts, pos, phase, z, [1.0::DOUBLE, {lags('z', 3)}] AS l FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY pos)) WHERE pos >= 3),
+    long_rows AS (SELECT series_id, list_concat(l, [z]) AS x FROM lagged WHERE phase = 'train'),
+    {least_squares("long_rows", "series_id", "a", "1e-8")},
+    missed AS (SELECT series_id, ts, pos, phase, z, l, z - {inner('b', 'l')} AS e FROM lagged JOIN a USING (series_id)),
+    design AS (SELECT * FROM (SELECT series_id, ts, pos, phase, z, [lag(z) OVER w, lag(z, 2) OVER w, lag(e) OVER w, z] AS x
+                              FROM missed WINDOW w AS (PARTITION BY series_id ORDER BY pos)) WHERE x[2] IS NOT NULL),
+    starts AS (SELECT series_id, phase, min(pos) AS start FROM scaled WHERE phase <> 'train' GROUP BY ALL),
+    eval AS (SELECT d.*, pos - (pos - start) % 3 AS refit_pos FROM design d JOIN starts USING (series_id, phase)),
+    running AS (SELECT series_id, pos AS refit_pos, i, j, sum(x[i] * x[j]) OVER past AS g, count(*) OVER past AS n
+      FROM design CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS i) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS j)
+      WINDOW past AS (PARTITION BY series_id, i, j ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    at_refit AS (SELECT r.* FROM running r SEMI JOIN eval e ON r.series_id = e.series_id AND r.refit_pos = e.refit_pos),
+    orders_tried AS (SELECT unnest([{{'p': 0, 'q': 0, 'c': [4]}}, {{'p': 1, 'q': 0, 'c': [1, 4]}}, {{'p': 2, 'q': 0, 'c': [1, 2, 4]}},
+      {{'p': 0, 'q': 1, 'c': [3, 4]}}, {{'p': 1, 'q': 1, 'c': [1, 3, 4]}}, {{'p': 2, 'q': 1, 'c': [1, 2, 3, 4]}}]) AS o),
+    f_c AS (SELECT series_id, refit_pos, o.p AS p, o.q AS q, a.k AS i, b.k AS j, g, n, len(o.c) - 1 AS d
+      FROM orders_tried CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) a CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) b
+      JOIN at_refit r ON a.k <= len(o.c) AND b.k <= len(o.c) AND r.i = o.c[a.k] AND r.j = o.c[b.k]),
+    """ + solution("series_id, refit_pos, p, q", "f") + "," + rss("series_id, refit_pos, p, q", "f") + f"""
+    , fits AS (SELECT series_id, refit_pos, p, q, b, f.d AS d, n, rss FROM f JOIN f_e USING (series_id, refit_pos, p, q)
+      UNION ALL SELECT series_id, refit_pos, 0, 0, [], 0, n, g FROM f_c WHERE p = 0 AND q = 0),
+    judged AS (SELECT *, n * ln(rss / n) + 2 * d + CASE WHEN refit_pos < 200 THEN 2.0 * d * (d + 1) / (n - d - 1) ELSE 0 END AS criterion FROM fits),
+    chosen AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY series_id, refit_pos ORDER BY criterion, p + q, p, q) = 1)
+    SELECT series_id, ts, pos, phase, refit_pos, c.p::INTEGER AS p, c.q::INTEGER AS q, 0::INTEGER AS sp, 0::INTEGER AS sq, false AS fallback,
+           round(criterion, 4) AS criterion, round(z, 6) + 0.0 AS y_true,
+           round(coalesce({inner('b', "CASE WHEN c.q = 0 THEN x[1:c.p] ELSE list_concat(x[1:c.p], [x[3]]) END")}, 0), 6) + 0.0 AS yhat
+    FROM eval JOIN chosen c USING (series_id, refit_pos)"""
+
+
+@query("m04_rolling_search", ROLLING_SEARCH, SCALED)
+def m_rolling_search(spark, folder):
+    limits = {"max_p": 2, "max_q": 1, "max_sp": 0, "max_sq": 0, "max_d": 0, "max_seasonal": 0, "long_order": 3}
+    out = ar.rolling_search(scaled_days(spark, folder), TARGET, every=3, **limits)
+    return rounded(rounded(out, 6, "y_true", "yhat"), 4, "criterion").drop("n")
 
 
 def _trend_sql(count: int) -> str:
@@ -195,10 +277,16 @@ RELATIVE = "SELECT series_id, list_concat(se, [y / {0} - 1]) AS x FROM train JOI
     SELECT series_id, ts, phase, round(peak * {inner('b', 'list_concat(tr, se)')}, 1) + 0.0 AS yhat FROM basis JOIN g USING (series_id)""", PHASED)
 def m_trend(spark, folder):
     rows = phased(spark, folder)
-    out = trend.predict_trend(rows, trend.fit_trend(rows, TARGET), TARGET)
+    out = trend.predict_trend(rows, trend.fit_trend(rows, TARGET, prior="normal"), TARGET)
     return rounded(out, 1, "yhat").select("series_id", "ts", "phase", "yhat")
 
 
+@query("m05_sparse_trend")
+def m_sparse_trend(spark, folder):
+    rows = phased(spark, folder)
+    return trend.predict_trend(rows, trend.fit_trend(rows, TARGET), TARGET).select("series_id", "ts", "phase", "yhat")
+
+
 @query("m05_multiplicative_trend", _trend_sql(25) + f"""
     , first_trend AS (SELECT series_id, b[1:27] AS b FROM g),
     rest1 AS ({RELATIVE.format(inner('b', 'tr'), 'first_trend')}),
@@ -211,7 +299,7 @@ def m_trend(spark, folder):
       SELECT basis.*, round(peak * y, 2) AS y_true, q.b AS tb, r.b AS sb FROM basis JOIN q USING (series_id) JOIN r USING (series_id))
     WHERE phase <> 'train'""", PHASED)
 def m_multiplicative(spark, folder):
-    rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "prophet", mode="multiplicative")
+    rows, _ = dispatch.forecast(daily_orders(spark, folder), TARGET, "prophet", mode="multiplicative", prior="normal")
     return rounded(rounded(rows, 1, "yhat"), 2, "y_true").drop("pos", "model")
 
 
@@ -253,7 +341,7 @@ def _search_sql() -> str:
 @query("m06_trend_search", _search_sql(), "days ranked_days")
 def m_trend_search(spark, folder):
     days = with_pos(orders_by_day(spark, folder), TARGET, "day").withColumn("phase", phase_from_head())
-    return rounded(trend.best_trend(trend.search_trend(days, TARGET), TARGET), 7, "mape")
+    return rounded(trend.best_trend(trend.search_trend(days, TARGET, prior="normal"), TARGET), 7, "mape")
 
 
 @query("m07_future_frame", """
