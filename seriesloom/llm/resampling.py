@@ -9,7 +9,9 @@ sums are kept.
 
 N-grams are tokens (runs of word bytes or of punctuation), pairs of tokens, and
 pairs of token shapes with a mark for a repeated token; shapes carry what rare
-tokens have in common.
+tokens have in common. A token that repeats the one before it counts as a repeat of
+its shape, not as the token: a text that says one common word over and over is as
+unlike the target as its repeats are.
 
 The raw model counts every document. The target model may be fitted on a bounded
 sample of labelled rows (TARGET_ROWS, smallest hashes of the id); their ids are
@@ -37,7 +39,7 @@ from seriesloom.llm.tables import batch_of, buffer_of, slices
 from seriesloom.session import cut_lineage
 
 BUCKETS = 1 << 14
-SMOOTHING = 10  # pseudo-counts per bucket, spread as the raw model
+SMOOTHING = 3  # pseudo-counts per bucket, spread as the raw model
 TARGET_ROWS = 20_000
 SEED = 7_919
 LENGTH = 100  # n-grams a text counts for when drawn
@@ -75,9 +77,11 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     shape = np.where(kind[starts] == 2, 16 + data[starts].astype(np.int64) * 4 + np.minimum(length, 3), shape)
     together = owner[1:] == owner[:-1]
     pair = scramble(token[:-1] * U64(3) + token[1:], 2)[together]
-    repeated = (token[1:] == token[:-1]).astype(np.int64)
+    repeated = token[1:] == token[:-1]
     shapes = scramble((shape[:-1] * 4096 + shape[1:] * 2 + repeated).astype(U64), 3)[together]
-    bucket = np.concatenate([token, pair, shapes]) & U64(BUCKETS - 1)
+    single = token.copy()
+    single[1:] = np.where(repeated & together, scramble(shape[1:].astype(U64), 5), token[1:])
+    bucket = np.concatenate([single, pair, shapes]) & U64(BUCKETS - 1)
     return bucket.astype(np.int64), np.concatenate([owner, owner[1:][together], owner[1:][together]])
 
 
