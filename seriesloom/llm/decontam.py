@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, lower_ascii, prefix_sums, window_hashes
 from seriesloom.llm.resampling import KIND
-from seriesloom.llm.tables import batch_of, buffer_of, slices
+from seriesloom.llm.tables import batch_of, buffer_of, give_back, slices
 
 BUCKETS = 1 << 18
 CELL = 1 << 12
@@ -43,6 +43,7 @@ PASSAGE, STRIDE = 32, 16  # words
 COSINE = 0.4  # in the latent space
 COMMON = 0.6  # of the item's words in the longest common subsequence
 ANSWER = 0.5  # of the item's rarest third
+SLICE = 1 << 19  # bytes of text worked on at once
 ITEMS = 20_000
 
 
@@ -72,7 +73,7 @@ COUNTS = pa.schema([("cell", pa.int32()), ("n", pa.list_(pa.float64()))])
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, passages = np.zeros(BUCKETS), 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             word, first = tokens(*buffer_of(part.column("text")))
             n = np.diff(first)
             pieces = -(-n // PASSAGE)
@@ -82,6 +83,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once = np.unique(piece * BUCKETS + bucket_of(word))
             counts += np.bincount(once % BUCKETS, minlength=BUCKETS)
             passages += int(pieces.sum())
+        give_back()
     cells = BUCKETS // CELL
     yield batch_of(COUNTS, np.arange(cells + 1, dtype=np.int32), [*counts.reshape(cells, CELL), np.array([float(passages)])])
 
@@ -110,7 +112,7 @@ def _product(weights: np.ndarray, place: np.ndarray, basis: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 word, first = tokens(*buffer_of(part.column("text")))
                 if not len(word):
                     continue
@@ -122,6 +124,7 @@ def _product(weights: np.ndarray, place: np.ndarray, basis: np.ndarray):
                 rows = np.zeros((len(first) - 1, basis.shape[1]))
                 np.add.at(rows, owner, basis[at] * value[:, None])
                 np.add.at(total, at, rows[owner] * value[:, None])
+            give_back()
         used = np.flatnonzero(np.abs(total).sum(1))
         yield batch_of(schema, used.astype(np.int32), list(total[used]))
 
@@ -274,11 +277,12 @@ def matches(text: Column, index: Benchmark) -> Column:
     @F.arrow_udf(f"array<{MATCH}>")
     def find(text: pa.Array) -> pa.Array:
         out = []
-        for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text"):
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"]), "text", SLICE):
             found = search(part.column(0), held.value)
             for row in range(part.num_rows):
                 hits = found.get(row)
                 out.append(hits and [dict(zip(("item_id", "cosine", "common_share", "answer_share"), (held.value.ids[i], *v))) for i, v in sorted(hits.items())])
+        give_back()
         return pa.array(out, kind)
 
     return find(text)

@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, lower_ascii, prefix_sums, scramble, window_hashes, word_offsets, words
 from seriesloom.llm.links import IdFilter, components
-from seriesloom.llm.tables import batch_of, buffer_of, list_array, packed, slices, unpacked
+from seriesloom.llm.tables import batch_of, buffer_of, give_back, list_array, packed, slices, unpacked
 from seriesloom.session import cut_lineage
 
 SHINGLE_WORDS = 5
 SIMILAR = 80  # percent of the union that two documents share at least
 BANDS, ROWS = 32, 4  # a pair of similarity 0.8 is missed with probability 5e-8
 BIN_BITS = 7  # log2(BANDS * ROWS)
-BLOCK_SHINGLES = 2_000_000  # shingles of the sets compared with each other in one task
+BLOCK_SHINGLES = 500_000  # shingles of the sets compared with each other in one task
+SLICE = 1 << 19  # bytes of text worked on at once
 KEPT_BYTES = 6  # of a shingle hash when sets are compared
 
 
@@ -106,7 +107,7 @@ SETS = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, first = shingle_sets(*buffer_of(part.column("text")), size)
                 n = np.diff(first)
                 digests = []
@@ -116,6 +117,7 @@ def _sign(size: int):
                 keys = band_keys(signatures(value, first))[n > 0]
                 lists = list_array(keys.reshape(-1), np.concatenate([[0], np.cumsum((n > 0) * BANDS)]))
                 yield batch_of(SIGNED, part.column("doc_id"), n, *digests, lists)
+            give_back()
 
     return run
 
@@ -125,12 +127,13 @@ def _sets_of(admitted: IdFilter, size: int):
         for batch in batches:
             chosen = admitted.admits(batch.column("slot").to_numpy(zero_copy_only=False)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(chosen))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 value, first = shingle_sets(*buffer_of(part.column("text")), size)
                 kept = value.byteswap().view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES]
                 offsets = pa.py_buffer((first * KEPT_BYTES).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(np.ascontiguousarray(kept).tobytes())])
                 yield batch_of(SETS, part.column("doc_id"), column)
+            give_back()
 
     return run
 
@@ -158,6 +161,7 @@ def _similar(percent: int):
             found = batch.filter(pa.array(linked))
             if found.num_rows:
                 yield batch_of(PAIRS, found.column("a"), found.column("b"))
+            give_back()
 
     return run
 
@@ -239,6 +243,7 @@ def _block_links(percent: int):
                 linked = 100 * shared >= percent * (len(sets[q]) + sizes - shared)
                 linked &= component[others] != component[q]
                 found += [tuple(sorted((int(node[q]), int(node[o])))) for o in others[linked]]
+        give_back()
         return pa.Table.from_batches([batch_of(PAIRS, [a for a, _ in found], [b for _, b in found])])
 
     return run

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.hashing import U64, prefix_sums, scramble, window_hashes
-from seriesloom.llm.tables import batch_of, buffer_of, slices
+from seriesloom.llm.tables import batch_of, buffer_of, give_back, slices
 from seriesloom.session import cut_lineage
 
 BUCKETS = 1 << 14
@@ -44,6 +44,7 @@ TARGET_ROWS = 20_000
 SEED = 7_919
 LENGTH = 100  # n-grams a text counts for when drawn
 MARGIN = 0.1  # nats per n-gram below the raw model that a fitting text may be
+SLICE = 1 << 19  # bytes of text worked on at once
 BINS = 1_000  # cells of each step that narrows down the k-th largest sum
 CELL = 1 << 10  # buckets in one row while counts are added up
 
@@ -92,12 +93,13 @@ def _count(target_ids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 bucket, owner = ngrams(*buffer_of(part.column("text")))
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 chosen = is_target(part.column("doc_id"), target_ids)
                 if chosen.any():
                     target += np.bincount(bucket[chosen[owner]], minlength=BUCKETS)
+            give_back()
         cells = BUCKETS // CELL
         yield batch_of(COUNT_ROWS, np.arange(cells, dtype=np.int32), list(raw.reshape(cells, -1)), list(target.reshape(cells, -1)))
 
@@ -158,7 +160,8 @@ def log_ratio(doc_id: Column, text: Column, models: Models) -> Column:
     @F.arrow_udf("double")
     def score(doc_id: pa.Array, text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([doc_id, text], ["doc_id", "text"])
-        out = [of_slice(part) for part in slices(batch, "text")]
+        out = [of_slice(part) for part in slices(batch, "text", SLICE)]
+        give_back()
         return pa.concat_arrays(out) if out else pa.array([], pa.float64())
 
     return score(doc_id, text)
