@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import calendar
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.position import BLOCK_ROWS, over_blocks, running_sum
+from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
 
 
@@ -89,6 +91,19 @@ def box_cox(value: Column, power: Column) -> Column:
     return F.when(power == 0, F.ln(value)).otherwise((F.pow(value, power) - 1) / power)
 
 
+def inverse_box_cox(moved: Column, power: Column, variance: Column | None = None) -> Column:
+    """Back to the units of the value; NULL where no value has this transform.
+
+    The plain inverse of a forecast is a median. With the ``variance`` of the forecast
+    error in transformed units it is the mean, to second order.
+    """
+    base = power * moved + 1
+    spread = F.lit(0.0) if variance is None else variance
+    log = F.exp(moved) * (1 + spread / 2)
+    other = F.pow(base, 1 / F.nullif(power, F.lit(0.0))) * (1 + spread * (1 - power) / (2 * base * base))
+    return F.when(power == 0, log).when(base > 0, other)
+
+
 # Powers tried for the variance-stabilising transform.
 POWERS = (-1.0, -0.5, 0.0, 0.5, 1.0, 2.0)
 
@@ -116,3 +131,41 @@ def box_cox_power(df: DataFrame, spec: SeriesSpec, powers: tuple[float, ...] = P
     best = F.array_max(F.filter(tried, lambda t: t["loglik"].isNotNull()))
     usable = (F.col("_n") == F.col("_ok")) & (F.col("_n") > 0)
     return sums.select(*spec.keys, F.when(usable, best["power"]).alias("power"), F.when(usable, best["loglik"]).alias("loglik"))
+
+
+def refined_box_cox_power(df: DataFrame, spec: SeriesSpec, powers: tuple[float, ...] = POWERS, rounds: int = 3, cells: int = 8) -> DataFrame:
+    """The power of the highest profile likelihood per series, narrowed down between its neighbours in ``powers``.
+
+    Each round is one aggregation that tries ``cells`` + 1 powers in the interval of
+    the series and goes on between the neighbours of the best one. Series without a
+    power on the grid have none here.
+    """
+    keys = list(spec.keys)
+    first = box_cox_power(df, spec, powers)
+    lower = {p: powers[max(i - 1, 0)] for i, p in enumerate(powers)}
+    upper = {p: powers[min(i + 1, len(powers) - 1)] for i, p in enumerate(powers)}
+    found = cut_lineage(
+        first.select(
+            *keys, "power", "loglik", *[F.coalesce(*[F.when(F.col("power") == p, float(v)) for p, v in side.items()]).alias(name)
+                                        for name, side in (("_low", lower), ("_high", upper))],
+        )
+    )
+    y = F.col(spec.value)
+    for _ in range(rounds):
+        step = (F.col("_high") - F.col("_low")) / cells
+        rows = join_on(df.select(*keys, spec.value), found.where("power IS NOT NULL").select(*keys, "_low", "_high"), keys)
+        tried = [F.col("_low") + i * step for i in range(cells + 1)]
+        spread = [F.stddev_pop(box_cox(y, p)).alias(f"_s{i}") for i, p in enumerate(tried)]
+        sums = rows.groupBy(*keys, "_low", "_high").agg(F.count(y).alias("_n"), F.sum(F.ln(y)).alias("_logs"), *spread)
+        likely = [
+            F.struct((-F.col("_n") * F.ln(F.nullif(F.col(f"_s{i}"), F.lit(0.0))) + (p - 1) * F.col("_logs")).alias("loglik"), p.alias("power"))
+            for i, p in enumerate(tried)
+        ]
+        best = F.array_max(F.filter(F.array(*likely), lambda t: t["loglik"].isNotNull()))
+        sums = sums.select(*keys, "_low", "_high", step.alias("_step"), best.alias("_b"))
+        better = sums.select(
+            *keys, F.col("_b.power").alias("power"), F.col("_b.loglik").alias("loglik"),
+            F.greatest("_low", F.col("_b.power") - F.col("_step")).alias("_low"), F.least("_high", F.col("_b.power") + F.col("_step")).alias("_high"),
+        )
+        found = cut_lineage(better.unionByName(found.where("power IS NULL")))
+    return found.drop("_low", "_high")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators import scale
+from seriesloom.operators import features, scale
 from seriesloom.operators.keys import join_on
 from seriesloom.operators.models import ar, delta, forest, horizon, trend
 from seriesloom.operators.models.naive import naive_forecast
@@ -24,9 +24,32 @@ def _naive(df: DataFrame, spec: SeriesSpec) -> Result:
     return naive_forecast(df, spec, F.col("phase")), None
 
 
-def _arima(df: DataFrame, spec: SeriesSpec, mode: str = "rolling", calibrate: bool = True, season: int = 7, **settings) -> Result:
-    """``rolling`` searches the orders again while it goes, ``smart`` once, on the training rows; ``plain`` is an autoregression."""
+def _untransformed(out: DataFrame, powers: DataFrame, keys: list[str]) -> DataFrame:
+    """Truth and forecast in the units of the series."""
+    missed = F.col("y_true") - F.col("yhat")
+    variance = out.where(F.col("phase") == "val").groupBy(*keys).agg(F.coalesce(F.var_pop(missed), F.lit(0.0)).alias("_v"))
+    rows = join_on(join_on(out, powers, keys), cut_lineage(variance), keys, "left")
+    power, v = F.col("power"), F.coalesce("_v", F.lit(0.0))
+    back = {"y_true": features.inverse_box_cox(F.col("y_true"), power), "yhat": features.inverse_box_cox(F.col("yhat"), power, v)}
+    return rows.withColumns({c: F.when(power.isNull(), F.col(c)).otherwise(x) for c, x in back.items()}).drop("power", "_v")
+
+
+def _arima(
+    df: DataFrame, spec: SeriesSpec, mode: str = "rolling", calibrate: bool = True, season: int = 7, box_cox: bool = False, **settings
+) -> Result:
+    """``rolling`` searches the orders again while it goes, ``smart`` once, on the training rows; ``plain`` is an autoregression.
+
+    With ``box_cox`` each positive series is transformed by the likeliest power of its
+    training rows; forecasts go back as means, with the variance of the validation
+    errors.
+    """
     keys = list(spec.keys)
+    powers = None
+    if box_cox:
+        powers = features.refined_box_cox_power(df.where(F.col("phase") == "train"), spec).select(*keys, "power")
+        # A later value that is not positive has no transform.
+        value = F.when(F.col("power").isNull(), F.col(spec.value)).when(F.col(spec.value) > 0, features.box_cox(F.col(spec.value), F.col("power")))
+        df = join_on(df, powers, keys).withColumn(spec.value, value).drop("power")
     if mode not in ("rolling", "smart", "plain"):
         raise ValueError(f"unknown mode {mode!r}")
     scaler = scale.fit_scaler(df, spec, [spec.value])
@@ -48,6 +71,8 @@ def _arima(df: DataFrame, spec: SeriesSpec, mode: str = "rolling", calibrate: bo
     scored = scored.withColumnRenamed(spec.value, "y_true")
     out = join_on(scored, target, keys).withColumns({c: scale.unscaled(c, spec.value) for c in ("y_true", "yhat")})
     out = out.select(*keys, spec.time, "pos", "n", "phase", "y_true", "yhat")
+    if powers is not None:
+        out = _untransformed(cut_lineage(out), powers, keys)
     if calibrate:
         out = calibrate_spread(calibrate_bias(out, spec, season).drop("bias"), spec, season).drop("ratio")
     return out, join_on(params, target, keys)

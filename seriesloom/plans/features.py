@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import calendar
 from seriesloom.functions.columns import timestamp
 from seriesloom.operators import features, scale
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.models.naive import naive_forecast
 from seriesloom.operators.position import running_sum, with_pos
 from seriesloom.operators.post import smooth
@@ -132,6 +133,41 @@ def box_cox(spark, folder):
     return powered.select("series_id", "ts", F.round(features.box_cox(F.col("value"), F.col("power")), 3).alias("moved"))
 
 
+def _refined_sql(rounds: int) -> str:
+    """Powers narrowed down as often, eight steps at a time."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""
+    tried{k} AS (SELECT series_id, low, high, low + i * ((high - low) / 8) AS power, value FROM r{k} JOIN days USING (series_id)
+                 CROSS JOIN (SELECT unnest(generate_series(0, 8)) AS i)),
+    likely{k} AS (SELECT series_id, low, high, power, -count(*) * ln(stddev_pop(CASE WHEN power = 0 THEN ln(value) ELSE (pow(value, power) - 1) / power END))
+                         + (power - 1) * sum(ln(value)) AS loglik FROM tried{k} GROUP BY series_id, low, high, power),
+    r{k + 1} AS (SELECT series_id, power, loglik, greatest(low, power - (high - low) / 8) AS low, least(high, power + (high - low) / 8) AS high
+                 FROM likely{k} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY loglik DESC, power DESC) = 1)""")
+    return f"""
+    WITH r0 AS (SELECT series_id, power, CASE power WHEN -1 THEN -1 WHEN -0.5 THEN -1 WHEN 0 THEN -0.5 WHEN 0.5 THEN 0 WHEN 1 THEN 0.5 ELSE 1 END::DOUBLE AS low,
+                       CASE power WHEN -1 THEN -0.5 WHEN -0.5 THEN 0 WHEN 0 THEN 0.5 WHEN 0.5 THEN 1 ELSE 2 END::DOUBLE AS high
+                FROM (SELECT series_id, arg_max(power, loglik) AS power FROM ({BOX_COX}) GROUP BY 1)),
+    """ + ",".join(steps)
+
+
+@query("f09_box_cox_refined", _refined_sql(3) + " SELECT series_id, round(power, 8) AS power, round(loglik, 3) AS loglik FROM r3", "days")
+def box_cox_refined(spark, folder):
+    return rounded(rounded(features.refined_box_cox_power(orders_by_day(spark, folder), PANEL), 8, "power"), 3, "loglik")
+
+
+@query("f09_box_cox_inverse", _refined_sql(3) + """
+    , moved AS (SELECT series_id, ts, value, power, (pow(value, power) - 1) / power AS x FROM days JOIN r3 USING (series_id))
+    SELECT series_id, ts, round(value, 2) AS back,
+           round(value * (1 + 0.01 * (1 - power) / (2 * pow(power * x + 1, 2))), 2) AS mean FROM moved""", "days")
+def box_cox_inverse(spark, folder):
+    days = orders_by_day(spark, folder)
+    powered = join_on(days, features.refined_box_cox_power(days, PANEL), ["series_id"])
+    x = features.box_cox(F.col("value"), F.col("power"))
+    back = {"back": features.inverse_box_cox(x, F.col("power")), "mean": features.inverse_box_cox(x, F.col("power"), F.lit(0.01))}
+    return rounded(powered.withColumns(back).select("series_id", "ts", "back", "mean"), 2, "back", "mean")
+
+
 def _fourier_sql() -> str:
     parts = []
     for name, (period, harmonics) in calendar.SEASONALITIES.items():

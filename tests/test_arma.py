@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom import SeriesSpec
+from seriesloom.operators import features
 from seriesloom.operators.gram import sparse_solved
 from seriesloom.operators.models import ar, arma, trend
 from seriesloom.operators.models.dispatch import forecast
@@ -252,3 +253,35 @@ def test_a_null_key_in_a_rolling_refit(spark):
     rows = ar.rolling_refit(df, SPEC, p=2, every=3, block=16).collect()
     named, other = (sorted((r.pos, r.yhat) for r in rows if r.series_id == k) for k in ("named", None))
     assert len(named) == 24 and np.allclose(named, other)
+
+
+def test_box_cox_goes_there_and_back(spark):
+    rng = np.random.default_rng(4)
+    series = {"log": np.exp(rng.normal(1.0, 0.6, 900)), "root": (5 + rng.normal(0, 0.5, 900)) ** 2, None: np.exp(rng.normal(0, 0.3, 300)), "bad": [1.0, -1.0, 2.0]}
+    df = panel(spark, series)
+    powers = {r.series_id: r.power for r in features.refined_box_cox_power(df, SPEC).collect()}
+    assert abs(powers["log"]) < 0.12 and 0.2 < powers["root"] < 0.8 and abs(powers[None]) < 0.5 and powers["bad"] is None
+    for key in ("log", "root", None):  # no power near by is likelier
+        y = np.array(series[key])
+        likely = [-len(y) * math.log(np.std(np.log(y) if p == 0 else (y**p - 1) / p)) + (p - 1) * np.log(y).sum() for p in (powers[key], powers[key] - 0.02, powers[key] + 0.02)]
+        assert likely[0] >= max(likely[1:])
+    for p in (-0.5, 0.0, 0.3, 1.0):
+        moved = features.box_cox(F.col("value"), F.lit(p))
+        rows = df.where("series_id = 'log'").select("value", features.inverse_box_cox(moved, F.lit(p)).alias("back")).collect()
+        assert np.allclose([r.value for r in rows], [r.back for r in rows])
+    x = rng.normal(1.0, 0.2, 200_000)
+    for p, value in ((0.0, np.exp(x)), (0.5, (0.5 * x + 1) ** 2)):
+        one = spark.range(1).select(features.inverse_box_cox(F.lit(float(x.mean())), F.lit(p), F.lit(float(x.var()))).alias("m")).first()
+        assert abs(one.m - value.mean()) < 0.003 * value.mean()
+
+
+def test_arima_on_transformed_values(spark):
+    y = np.exp(1 + 0.4 * noise_model(240, 31, (0.8,)))
+    df = panel(spark, {"a": y, None: y, "signed": noise_model(240, 32, (0.5,))})
+    rows, _ = forecast(df, SPEC, "arima", box_cox=True, calibrate=False, **SETTINGS["arima"])
+    got = rows.orderBy("pos").collect()
+    for key in ("a", None):
+        part = [r for r in got if r.series_id == key]
+        assert len(part) == 96 and all(r.yhat > 0 for r in part) and np.allclose([r.y_true for r in part], y[144:])
+        assert np.corrcoef([r.yhat for r in part], y[144:])[0, 1] > 0.5
+    assert len([r for r in got if r.series_id == "signed"]) == 96
