@@ -128,14 +128,14 @@ def sparse_solved(matrix: np.ndarray, rhs: np.ndarray, l1: np.ndarray, l2: np.nd
     scale = np.diag(m).copy()
     b = np.zeros(len(rhs))
     rest = np.asarray(rhs, float).copy()  # rhs - m @ b
-    for sweep in range(1, sweeps + 1):
-        for j in np.flatnonzero(scale > 0):
+    for sweep in range(sweeps + 1):
+        for j in np.flatnonzero(scale > 0) if sweep else ():
             pull = rest[j] + scale[j] * b[j]
             new = np.sign(pull) * max(abs(pull) - l1[j], 0.0) / scale[j]
             if new != b[j]:
                 rest -= m[:, j] * (new - b[j])
                 b[j] = new
-        if sweep in (5, 20) or sweep % 50 == 0:
+        if sweep in (0, 5, 20) or sweep % 50 == 0:
             on = (b != 0) | (l1 == 0)
             whole = np.zeros(len(rhs))
             whole[on] = solved(m[np.ix_(on, on)], rhs[on] - l1[on] * np.sign(b[on]))
