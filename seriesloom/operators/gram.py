@@ -181,15 +181,3 @@ def regress(grams: DataFrame, keys: list[str], columns: list[str], xs: list[str]
         return [{"n": n, "betas": betas.tolist(), "rss": max(float(rss), 0.0)}]
 
     return per_key(grams, keys, "n bigint, betas array<double>, rss double", solve)
-
-
-def regress_many(grams: DataFrame, keys: list[str], columns: list[str], xs: list[str], ys: list[str], penalty: float = 0.0) -> DataFrame:
-    """One coefficient array per target in ``ys``, together in ``betas`` per key."""
-    at, targets, size = [columns.index(c) for c in xs], [columns.index(c) for c in ys], len(columns)
-
-    def solve(cells, n, row):
-        g = square(cells, size)
-        betas = solved(g[np.ix_(at, at)] + penalty * np.eye(len(at)), g[np.ix_(at, targets)])
-        return [{"n": n, "betas": betas.T.tolist()}]
-
-    return per_key(grams, keys, "n bigint, betas array<array<double>>", solve)

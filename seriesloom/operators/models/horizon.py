@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators import scale
-from seriesloom.operators.gram import gram, regress_many
+from seriesloom.operators.gram import solved
 from seriesloom.operators.keys import join_on
+from seriesloom.operators.lagsums import per_window_matrix
 from seriesloom.operators.merge import merge_overlaps
-from seriesloom.operators.position import over_blocks
 from seriesloom.operators.post import apply_residual, linear
 from seriesloom.operators.windows import supervised_windows, unrolled
 from seriesloom.session import cut_lineage
 from seriesloom.sources.resample import step_after
 from seriesloom.spec import SeriesSpec
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def horizon_windows(df: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int = 1) -> DataFrame:
-    """Rolling windows with the target's history ``x``, its next values ``y`` and their times."""
+    """Rolling windows with the history ``x`` of target and covariates, the target's next values ``y`` and their times."""
     timed = df.withColumn("_when", F.unix_micros(F.col(spec.time).cast("timestamp")).cast("double"))
-    wide = supervised_windows(timed, spec.using(features=("_when",)), seq_len, pred_len, step)
-    return wide.select(*spec.keys, "origin", "n", "x", "y")
+    channels = len(spec.columns)
+    wide = supervised_windows(timed, spec.using(features=(*spec.columns[1:], "_when")), seq_len, pred_len, step)
+    return wide.select(*spec.keys, "origin", "n", "x", F.transform("y", lambda cell: F.array(cell[0], cell[channels])).alias("y"))
+
+
+def _channel(x: str, i: int) -> Column:
+    return F.transform(x, lambda cell: cell[i])
+
+
+def _flat(x: str, channels: int) -> Column:
+    """The cells of a window channel by channel, as the coefficients are ordered."""
+    return F.concat(*[_channel(x, i) for i in range(channels)])
 
 
 def _steps(windows: DataFrame, spec: SeriesSpec, seq_len: int, keep: list[str], cells: list[str] | None = None) -> DataFrame:
@@ -45,38 +60,46 @@ def flat_forecast(df: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int,
 
 
 def fit_horizon(df: DataFrame, spec: SeriesSpec, seq_len: int = 96, pred_len: int = 24, penalty: float = 1.0) -> DataFrame:
-    """Scaler and one coefficient array per horizon step (intercept, oldest to newest value) per series.
+    """Scaler and one coefficient array per horizon step per series.
 
-    Needs ``pos`` and ``phase``; only windows whose whole horizon is training are used.
+    An array holds the intercept, then the target and each covariate in
+    ``spec.features``, oldest to newest row of the window. Needs ``pos`` and
+    ``phase``; only windows whose whole horizon is training are used.
     """
-    keys = list(spec.keys)
-    scaler = scale.fit_scaler(df, spec, [spec.value])
-    xs = [f"x_{i}" for i in range(seq_len - 1, -1, -1)]
-    ys = [f"y_{h}" for h in range(1, pred_len + 1)]
+    keys, names, width = list(spec.keys), spec.columns, seq_len + pred_len
+    scaler = scale.fit_scaler(df, spec, names)
+    train = scale.scale(df.where(F.col("phase") == "train"), scaler, spec, names)
+    inputs = [0] + [width * (c + 1) + i for c in range(len(names)) for i in range(seq_len)]
+    targets = [width + seq_len + h for h in range(pred_len)]
 
-    def look(w):
-        past = {f"x_{i}": F.lag(spec.value, i).over(w) for i in range(seq_len - 1, -1, -1)}
-        return past | {f"y_{h}": F.lead(spec.value, h).over(w) for h in range(1, pred_len + 1)}
+    def solve(matrix, n):
+        betas = solved(matrix[np.ix_(inputs, inputs)] + penalty * np.eye(len(inputs)), matrix[np.ix_(inputs, targets)])
+        return [{"betas": betas.T.tolist()}]
 
-    train = scale.scale(df.where(F.col("phase") == "train"), scaler, spec, [spec.value])
-    rows = over_blocks(train.select(*keys, "pos", spec.value), spec, look, before=seq_len - 1, after=pred_len)
-    grams = gram(rows.withColumn("one", F.lit(1.0)), keys, ["one", *xs, *ys])
-    fitted = regress_many(grams, keys, ["one", *xs, *ys], ["one", *xs], ys, penalty)
-    return cut_lineage(join_on(fitted.select(*keys, "betas"), scaler, keys))
+    fitted = per_window_matrix(train, spec, names, width, "betas array<array<double>>", solve)
+    return cut_lineage(join_on(fitted, scaler, keys))
 
 
-def unscaled_betas(value: str) -> Column:
-    """The coefficients for windows in the units of the target: slopes as they are, the scaler in the intercept."""
-    mean, spread = F.col(f"{value}_mean"), F.col(f"{value}_std")
+def unscaled_betas(names: list[str], seq_len: int) -> Column:
+    """The coefficients for windows in their own units, the target first in ``names``; scalers go into slopes and intercept."""
+    mean, spread = F.col(f"{names[0]}_mean"), F.col(f"{names[0]}_std")
 
     def fold(b: Column) -> Column:
-        slopes = F.slice(b, 2, F.size(b) - 1)
-        total = F.aggregate(slopes, F.lit(0.0), lambda a, c: a + c)
-        return F.concat(F.array(F.element_at(b, 1) * spread + mean * (1.0 - total)), slopes)
+        start, slopes = F.element_at(b, 1) * spread + mean, []
+        for c, name in enumerate(names):
+            ratio = spread / F.col(f"{name}_std") if c else F.lit(1.0)
+            own = _times(F.slice(b, 2 + c * seq_len, seq_len), ratio)
+            start = start - F.aggregate(own, F.lit(0.0), lambda a, s: a + s) * F.col(f"{name}_mean")
+            slopes.append(own)
+        return F.concat(F.array(start), *slopes)
 
     return F.transform("betas", fold)
 
 
+def _times(numbers: Column, factor: Column) -> Column:
+    return F.transform(numbers, lambda x: x * factor)
+
+
 def _products(betas: pa.Array, x: pa.Array) -> pa.Array:
     """One forecast per coefficient array of a row; NULL where the window has a NULL."""
     rows, flat = len(x), x.flatten().to_numpy(zero_copy_only=False)
@@ -97,9 +120,9 @@ def _forecasts(betas: str, x: str) -> Column:
 
 def predict_rolling(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, pred_len: int, step: int = 1) -> DataFrame:
     """Forecasts of all rolling windows, one row per window and horizon step."""
-    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.value).alias("_b")))
+    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.columns, seq_len).alias("_b")))
     windows = join_on(horizon_windows(df, spec, seq_len, pred_len, step), raw, spec.keys)
-    windows = windows.withColumn("_f", _forecasts("_b", F.transform("x", lambda cell: cell[0]))).drop("_b", "x")
+    windows = windows.withColumn("_f", _forecasts("_b", _flat("x", len(spec.columns)))).drop("_b", "x")
     # The forecast of a step travels in its own cell, not in a copy of the whole array.
     windows = windows.withColumn("y", F.zip_with("y", "_f", lambda cell, f: F.concat(cell, F.array(f)))).drop("_f")
     return _steps(windows, spec, seq_len, [], ["yhat"])
@@ -136,12 +159,14 @@ def dense_last(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int,
 def predict_next(df: DataFrame, params: DataFrame, spec: SeriesSpec, seq_len: int, grid: str) -> DataFrame:
     """The horizon after the last row of each series, from its last ``seq_len`` values; needs ``pos`` and ``n``."""
     last = df.where(F.col("pos") >= F.col("n") - seq_len)
+    cells = F.array(*[F.col(c).cast("double") for c in spec.columns])
     windows = last.groupBy(*spec.keys).agg(
         F.max(spec.time).alias("_end"),
-        F.array_sort(F.collect_list(F.struct("pos", spec.value)))[spec.value].alias("_x"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", cells.alias("_c")))), lambda row: row["_c"]).alias("_x"),
     )
-    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.value).alias("_b")))
-    whole = join_on(windows.where(F.size("_x") == seq_len), raw, spec.keys).withColumn("_f", _forecasts("_b", "_x"))
+    raw = cut_lineage(params.select(*spec.keys, unscaled_betas(spec.columns, seq_len).alias("_b")))
+    whole = join_on(windows.where(F.size("_x") == seq_len), raw, spec.keys)
+    whole = whole.withColumn("_f", _forecasts("_b", _flat("_x", len(spec.columns))))
     steps = whole.select(*spec.keys, "_end", F.posexplode("_f").alias("_i", "yhat"))
     steps = steps.withColumn("step", F.col("_i") + 1)
     return steps.select(*spec.keys, "step", step_after("_end", "step", grid).alias(spec.time), "yhat")

@@ -17,7 +17,12 @@ def _cells(columns: list[str]) -> Column:
 def supervised_windows(
     df: DataFrame, spec: SeriesSpec, input_steps: int, output_steps: int = 1, stride: int = 1, block: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Inputs ``x`` of rows ``[origin, origin + input_steps)`` and the next ``output_steps`` rows as ``y``."""
+    """Inputs ``x`` of rows ``[origin, origin + input_steps)`` and the next ``output_steps`` rows as ``y``.
+
+    Origins are multiples of ``stride``; with a larger stride fewer windows are built.
+    """
+    if stride > 1:
+        return _strided(df, spec, input_steps, output_steps, stride, block)
     cells = _cells(spec.columns)
 
     def frames(w):
@@ -28,8 +33,29 @@ def supervised_windows(
 
     full = over_blocks(df, spec, frames, before=input_steps - 1, after=output_steps, block=block)
     whole = (F.size("x") == input_steps) & (F.size("y") == output_steps)
-    windows = full.where(whole).withColumn("origin", F.col("pos") - (input_steps - 1))
-    return windows.where(F.col("origin") % stride == 0).select(*spec.keys, "origin", spec.time, "n", "x", "y")
+    return full.where(whole).select(
+        *spec.keys, (F.col("pos") - (input_steps - 1)).alias("origin"), spec.time, "n", "x", "y"
+    )
+
+
+def _strided(df: DataFrame, spec: SeriesSpec, input_steps: int, output_steps: int, stride: int, block: int) -> DataFrame:
+    """One window per group of ``stride`` rows: the group that starts at the origin and those after it."""
+    keys, width = list(spec.keys), input_steps + output_steps
+    row = F.struct("pos", F.col(spec.time).alias("_at"), "n", _cells(spec.columns).alias("_cell"))
+    groups = df.groupBy(*keys, F.expr(f"pos div {stride}").alias("_group")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    more = (width - 1) // stride
+
+    def frames(w):
+        return {"_all": F.flatten(F.collect_list("_rows").over(w.rowsBetween(0, more)))}
+
+    full = over_blocks(groups.withColumnRenamed("_group", "pos"), spec, frames, after=more, block=max(block // stride, 1))
+    first, last = F.element_at("_all", 1), F.element_at("_all", input_steps)
+    wide = full.where((F.size("_all") >= width) & (first["pos"] == F.col("pos") * stride))
+    number = F.transform("_all", lambda r: r["_cell"])
+    return wide.select(
+        *keys, first["pos"].alias("origin"), last["_at"].alias(spec.time), last["n"].alias("n"),
+        F.slice(number, 1, input_steps).alias("x"), F.slice(number, input_steps + 1, output_steps).alias("y"),
+    )
 
 
 def encoder_decoder_windows(

@@ -439,68 +439,93 @@ def r_features(spark, folder):
     return rounded(out, 2, "corrected").select("series_id", "ts", "corrected")
 
 
-def _horizon_sql(steps: int) -> str:
+SEEN, AHEAD = 96, 24
+HORIZON = f"{SCALED} lists"
+
+
+def _horizon_sql(steps: int = AHEAD, channels: str = "z") -> str:
+    """Forecasts ``pred`` of all windows of ``SEEN`` rows; the sums of products are those of whole columns of training windows."""
+    names = channels.split()
+    inputs = 1 + SEEN * len(names)
+    every = " UNION ALL ".join(
+        f"SELECT series_id, {2 + c * SEEN} + o AS i, {name}[o + 1:o + w] AS c FROM sizes CROSS JOIN range({SEEN}) r(o)" for c, name in enumerate(names)
+    )
+    window = ", ".join(f"{name}[o + 1:o + {SEEN}]" for name in names)
+    joined = f"flatten([[1.0::DOUBLE], {window}])"
     return f"""
-    WITH design AS (SELECT * FROM (
-      SELECT series_id, pos, phase, n, [1, {lags('z', 13)}] AS l, z,
-             [{", ".join(f"lead(z, {h}) OVER w" for h in range(1, steps + 1))}] AS y
-      FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY ts)) WHERE pos >= 13),
-    inputs AS (SELECT series_id, pos, n, [1.0::DOUBLE, l[14], l[13], l[12], l[11], l[10], l[9], l[8], l[7], l[6], l[5], l[4], l[3], l[2], z] AS u, y FROM design),
-    train AS (SELECT series_id, h, list_concat(u, [y[h]]) AS x FROM inputs CROSS JOIN (SELECT unnest(generate_series(1, {steps})) AS h)
-              WHERE pos + {steps} < n * 6 // 10),
-    """ + least_squares("train", "series_id, h", "f", "1") + f"""
-    , pred AS (SELECT p.series_id, p.pos - 13 AS origin, h, p.pos + h AS pos, p.n, {inner('b', 'u')} * s + m AS yhat
-               FROM inputs p JOIN f USING (series_id) JOIN scaler USING (series_id))"""
-
-
-@query("m11_horizon_forecast", _horizon_sql(4) + """
+    WITH sizes AS (SELECT *, n * 6 // 10 - {SEEN + steps} + 1 AS w FROM lists),
+    parts AS (SELECT series_id, 1 AS i, [1.0::DOUBLE FOR x IN range(w)] AS c FROM sizes UNION ALL {every}
+      UNION ALL SELECT series_id, {inputs + 1} + h AS i, z[h + {SEEN + 1}:h + {SEEN} + w] AS c FROM sizes CROSS JOIN range({steps}) r(h)),
+    lines AS (SELECT a.series_id, a.i, list(list_inner_product(a.c, b.c) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END ORDER BY b.i) AS line
+      FROM parts a JOIN parts b USING (series_id) WHERE a.i <= {inputs} GROUP BY 1, 2),
+    solving AS (SELECT series_id, 1 AS k, i, line FROM lines UNION ALL
+      SELECT t.series_id, t.k + 1, t.i, CASE WHEN t.i = t.k THEN [t.line[j] / p.line[1] FOR j IN range(2, len(t.line) + 1)]
+             ELSE [t.line[j] - t.line[1] * p.line[j] / p.line[1] FOR j IN range(2, len(t.line) + 1)] END
+      FROM solving t JOIN solving p ON t.series_id = p.series_id AND p.i = t.k WHERE t.k <= {inputs}),
+    f AS (SELECT series_id, h + 1 AS h, list(line[h + 1] ORDER BY i) AS b
+      FROM solving CROSS JOIN range({steps}) r(h) WHERE k = {inputs + 1} GROUP BY 1, 2),
+    seen AS (SELECT series_id, n, o AS origin, {joined} AS u FROM lists CROSS JOIN LATERAL (SELECT unnest(range(n - {SEEN} + 1)) AS o)),
+    pred AS (SELECT p.series_id, origin, h, origin + {SEEN - 1} + h AS pos, p.n, list_inner_product(b, u) * s + m AS yhat
+             FROM seen p JOIN f USING (series_id) JOIN scaler USING (series_id))"""
+
+
+@query("m11_horizon_forecast", _horizon_sql() + """
     SELECT pred.series_id, origin, h AS step, ts, round(value, 2) AS y_true, round(yhat, 2) AS yhat
-    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n""", SCALED)
+    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 120 <= pred.n""", HORIZON)
 def m_horizon(spark, folder):
     rows = phased(spark, folder)
-    out = horizon.predict_rolling(rows, horizon.fit_horizon(rows, TARGET, 14, 4), TARGET, 14, 4)
+    out = horizon.predict_rolling(rows, horizon.fit_horizon(rows, TARGET, SEEN, AHEAD), TARGET, SEEN, AHEAD)
     return rounded(out, 2, "y_true", "yhat").select("series_id", "origin", F.col("step"), "ts", "y_true", "yhat")
 
 
-@query("m12_next_horizon", _horizon_sql(4) + """
+@query("m11_covariate_forecast", _horizon_sql(channels="z zo") + """
+    SELECT pred.series_id, origin, h AS step, ts, round(value, 2) AS y_true, round(yhat, 2) AS yhat
+    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 120 <= pred.n AND origin % 24 = 0""", HORIZON)
+def m_covariates(spark, folder):
+    rows = phased(spark, folder)
+    out = horizon.predict_rolling(rows, horizon.fit_horizon(rows, PANEL, SEEN, AHEAD), PANEL, SEEN, AHEAD, step=AHEAD)
+    return rounded(out, 2, "y_true", "yhat").select("series_id", "origin", "step", "ts", "y_true", "yhat")
+
+
+@query("m12_next_horizon", _horizon_sql() + """
     SELECT series_id, CAST(h AS INTEGER) AS step, hi + INTERVAL 1 DAY * h AS ts, round(yhat, 2) AS yhat
-    FROM pred JOIN (SELECT series_id, max(ts) AS hi FROM phased GROUP BY 1) USING (series_id) WHERE origin = n - 14""", SCALED)
+    FROM pred JOIN (SELECT series_id, max(ts) AS hi FROM phased GROUP BY 1) USING (series_id) WHERE origin = n - 96""", HORIZON)
 def m_next(spark, folder):
     rows = phased(spark, folder)
-    out = horizon.predict_next(rows, horizon.fit_horizon(rows, TARGET, 14, 4), TARGET, 14, "day")
+    out = horizon.predict_next(rows, horizon.fit_horizon(rows, TARGET, SEEN, AHEAD), TARGET, SEEN, "day")
     return rounded(out, 2, "yhat")
 
 
-@query("m13_rolling_forecast", _horizon_sql(4) + """
+@query("m13_rolling_forecast", _horizon_sql() + """
     SELECT pred.series_id, ts, round(arg_max(value, origin), 2) AS y_true, round(arg_max(yhat, origin), 2) AS yhat
-    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n AND origin % 2 = 0 GROUP BY 1, 2""", SCALED)
+    FROM pred JOIN phased USING (series_id, pos) WHERE origin + 120 <= pred.n AND origin % 24 = 0 GROUP BY 1, 2""", HORIZON)
 def m_rolling(spark, folder):
     rows = phased(spark, folder)
-    params = horizon.fit_horizon(rows, TARGET, 14, 4)
-    return rounded(horizon.rolling_forecast(rows, params, TARGET, 14, 4, step=2), 2, "y_true", "yhat")
+    params = horizon.fit_horizon(rows, TARGET, SEEN, AHEAD)
+    return rounded(horizon.rolling_forecast(rows, params, TARGET, SEEN, AHEAD), 2, "y_true", "yhat")
 
 
-@query("m14_segment_forecast", _horizon_sql(4) + """
+@query("m14_segment_forecast", _horizon_sql() + """
     , seg AS (SELECT pred.series_id, phase, origin, ts, value, yhat * 1.05 + 100 AS yhat
-              FROM pred JOIN phased USING (series_id, pos) WHERE origin + 18 <= pred.n),
+              FROM pred JOIN phased USING (series_id, pos) WHERE origin + 120 <= pred.n),
     fit AS (SELECT series_id, avg(value - yhat) AS intercept FROM seg WHERE phase = 'val' GROUP BY 1)
-    SELECT series_id, ts, round(avg(value), 2) AS y_true, round(avg(yhat + intercept), 2) AS yhat FROM seg JOIN fit USING (series_id) GROUP BY 1, 2""", SCALED)
+    SELECT series_id, ts, round(avg(value), 2) AS y_true, round(avg(yhat + intercept), 2) AS yhat FROM seg JOIN fit USING (series_id) GROUP BY 1, 2""", HORIZON)
 def m_segment(spark, folder):
     rows = phased(spark, folder)
-    params = horizon.fit_horizon(rows, TARGET, 14, 4)
-    steps = horizon.predict_rolling(rows, params, TARGET, 14, 4).withColumn("yhat", F.col("yhat") * 1.05 + 100)
+    params = horizon.fit_horizon(rows, TARGET, SEEN, AHEAD)
+    steps = horizon.predict_rolling(rows, params, TARGET, SEEN, AHEAD).withColumn("yhat", F.col("yhat") * 1.05 + 100)
     val = steps.join(rows.where("phase = 'val'").select("series_id", "pos"), ["series_id", "pos"])
     residual = fit_residual(val, TARGET, "bias", phase=None)
-    out = horizon.segment_forecast(rows, params, TARGET, 14, 4, calibration=(1.05, 100.0), residual=residual)
+    out = horizon.segment_forecast(rows, params, TARGET, SEEN, AHEAD, calibration=(1.05, 100.0), residual=residual)
     return rounded(out, 2, "y_true", "yhat")
 
 
 @query("m15_dense_last", _horizon_sql(1) + """
     SELECT pred.series_id, ts, pos, round(value, 2) AS y_true, round(yhat, 2) AS yhat
-    FROM pred JOIN phased USING (series_id, pos) WHERE pos >= pred.n - 200""", SCALED)
+    FROM pred JOIN phased USING (series_id, pos) WHERE pos >= pred.n - 200""", HORIZON)
 def m_dense(spark, folder):
     rows = phased(spark, folder)
-    out = horizon.dense_last(rows, horizon.fit_horizon(rows, TARGET, 14, 1), TARGET, 14, 200)
+    out = horizon.dense_last(rows, horizon.fit_horizon(rows, TARGET, SEEN, 1), TARGET, SEEN, 200)
     return rounded(out, 2, "y_true", "yhat")
 
 

@@ -47,6 +47,10 @@ CTES = {
         FROM phased WHERE phase = 'train' GROUP BY series_id""",
     "scaled": """
         SELECT p.series_id, ts, pos, n, phase, (value - m) / s AS z, value FROM phased p JOIN scaler USING (series_id)""",
+    # Target and covariate of each series as lists.
+    "lists": """
+        SELECT p.series_id, any_value(n) AS n, list((value - m) / s ORDER BY pos) AS z, list((n_orders - mo) / so ORDER BY pos) AS zo
+        FROM phased p JOIN scaler USING (series_id) GROUP BY 1""",
     "event_days": """
         SELECT event_type AS series_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts,
                CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2""",

@@ -54,22 +54,22 @@ def shipment_windows(spark, folder):
 
 
 @query("w02_encoder_decoder_windows", f"""
-    SELECT series_id, pos - 13 AS origin, x AS x_enc, k || ',-,-,-,-' AS x_dec, k || ',' || y AS y_label FROM (
+    SELECT series_id, pos - 95 AS origin, x AS x_enc, k || repeat(',-', 24) AS x_dec, k || ',' || y AS y_label FROM (
       SELECT series_id, pos, n, {_text('a')} AS x, {_text('k')} AS k, {_text('b')} AS y FROM daily
-      WINDOW {_frame('a', -13, 0)}, {_frame('k', -6, 0)}, {_frame('b', 1, 4)})
-    WHERE pos >= 13 AND pos < n - 4""", DAYS)
+      WINDOW {_frame('a', -95, 0)}, {_frame('k', -47, 0)}, {_frame('b', 1, 24)})
+    WHERE pos >= 95 AND pos < n - 24""", DAYS)
 def encoder_decoder(spark, folder):
-    made = windows.encoder_decoder_windows(daily_orders(spark, folder), VALUE, 14, 7, 4)
+    made = windows.encoder_decoder_windows(daily_orders(spark, folder), VALUE, 96, 48, 24)
     return made.select("series_id", "origin", *[cents(windows.flattened(c)).alias(c) for c in ("x_enc", "x_dec", "y_label")])
 
 
 @query("w03_disjoint_windows", f"""
-    SELECT series_id, pos - 13 AS origin, x AS x_enc, d AS x_dec, y, f AS x_feature FROM (
+    SELECT series_id, pos - 95 AS origin, x AS x_enc, d AS x_dec, y, f AS x_feature FROM (
       SELECT series_id, pos, n, {_text('a')} AS x, {_text('d')} AS d, {_text('b')} AS y, {_text('a', 'n_orders')} AS f FROM daily
-      WINDOW {_frame('a', -13, 0)}, {_frame('d', 1, 11)}, {_frame('b', 8, 11)})
-    WHERE pos >= 13 AND pos < n - 11""", DAYS)
+      WINDOW {_frame('a', -95, 0)}, {_frame('d', 1, 72)}, {_frame('b', 49, 72)})
+    WHERE pos >= 95 AND pos < n - 72""", DAYS)
 def disjoint(spark, folder):
-    made = windows.disjoint_windows(daily_orders(spark, folder), VALUE, 14, 7, 4, ["n_orders"])
+    made = windows.disjoint_windows(daily_orders(spark, folder), VALUE, 96, 48, 24, ["n_orders"])
     return made.select("series_id", "origin", *[cents(windows.flattened(c)).alias(c) for c in ("x_enc", "x_dec", "y", "x_feature")])
 
 
