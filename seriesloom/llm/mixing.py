@@ -2,8 +2,9 @@
 
 Each source gets a target number of words. Whole copies of the source go in
 first; what remains is a subset-sum problem over the histogram of exact document
-lengths: every length gives its proportional share, and bounded-knapsack dynamic
-programming fits the rest. Which documents of a length are taken depends on a
+lengths: every length gives its proportional share, fractions of documents go to
+the next shorter length, and bounded-knapsack dynamic programming fits the last
+words exactly. So the mix has the length distribution of its source. Which documents of a length are taken depends on a
 seeded hash of ``doc_id`` alone.
 
 Defined results: a NULL text has no words; a document without words takes none;
@@ -27,7 +28,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 SEED = 20_240_601
-DP_WORDS = 65_536  # the knapsack's budget; larger remainders are first filled from the longest lengths
+DP_WORDS = 4_096  # words left to the knapsack, or those of DP_DOCS documents
+DP_DOCS, DP_MOST = 8, 64  # such documents go back only up to DP_MOST times DP_WORDS
 HASH_BITS = 10  # documents of one length are ranked in so many groups of hashes
 
 
@@ -66,45 +68,70 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
+def shares(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole documents of each length in proportion, and the further ones that its fractions make.
+
+    The words of a fraction go on to the next shorter length, so that for every
+    length the words taken from documents at least that long are proportional but
+    for less than one document.
+    """
+    total = int((lengths * counts).sum())
+    whole = np.array([int(n) * budget // total for n in counts], np.int64)
+    more, carried = np.zeros(len(lengths), np.int64), 0  # carried words times total
+    for i in np.argsort(-lengths, kind="stable"):
+        size = int(lengths[i])
+        if size:
+            carried += (int(counts[i]) * budget - int(whole[i]) * total) * size
+            more[i] = min(carried // (size * total), int(counts[i] - whole[i]))
+            carried -= int(more[i]) * size * total
+    return whole, more
+
+
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS, seed: int = SEED) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest ``budget``.
 
-    Proportional shares first, so that the mix has the length distribution of the
-    source. The remainder is fitted exactly: bit ``s`` of ``reach`` says that some
-    choice of the remaining documents has ``s`` words.
+    Some ``dp_words`` words of the proportional choice are handed back, in a seeded
+    order of the lengths, and fitted anew without a preference for a length: bit
+    ``s`` of ``reach`` says that some choice of further documents has ``s`` words.
     """
-    take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or total <= 0:
-        return take
+        return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take += np.array([int(n) * budget // total for n in counts], np.int64)
+    whole, more = shares(lengths, counts, budget)
+    take = whole + more
     rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
+    order = np.random.default_rng(seed).permutation(np.flatnonzero(lengths > 0))
+    handed = 0
     for i in order:
-        if rest <= dp_words:
-            break
-        more = min(int(counts[i] - take[i]), (rest - dp_words) // int(lengths[i]) if lengths[i] else 0)
-        take[i] += more
-        rest -= more * int(lengths[i])
-    top = rest + int(lengths.max())
+        room = dp_words if handed >= DP_DOCS else DP_MOST * dp_words
+        back = min(int(more[i]), max(room - rest, 0) // int(lengths[i]))
+        take[i] -= back
+        rest += back * int(lengths[i])
+        handed += back
+    top = min(rest + int(lengths.max()), 2 * rest)
     mask = (1 << (top + 1)) - 1
-    reach, items, parent = 1, [], np.full(top + 1, -1, np.int64)
+    reach, items, parent = 1, [], np.full(top + 1, -1, np.int32)
+    # One document of each length first, then doubling numbers of those that are left.
+    choices = [(i, 1) for i in order if counts[i] > take[i]]
     for i in order:
-        left, step = int(counts[i] - take[i]), 1
-        while left > 0 and lengths[i] and not reach >> rest & 1:
-            copies = min(step, left)
-            words = copies * int(lengths[i])
-            if words > top:
-                break
-            new = (reach << words) & mask & ~reach
-            if new:
-                bits = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
-                parent[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: top + 1])] = len(items)
-                items.append((i, copies, words))
-                reach |= new
-            left, step = left - copies, step * 2
+        left, step = int(counts[i] - take[i]) - 1, 1
+        while left > 0:
+            choices.append((i, min(step, left)))
+            left, step = left - step, step * 2
+    for i, copies in choices:
+        words = copies * int(lengths[i])
+        if reach >> rest & 1:
+            break
+        if words > top:
+            continue
+        new = (reach << words) & mask & ~reach
+        if new:
+            bits = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
+            parent[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: top + 1])] = len(items)
+            items.append((i, copies, words))
+            reach |= new
     sums = np.flatnonzero(np.unpackbits(np.frombuffer(reach.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")[: top + 1])
     at = int(sums[np.argmin(np.abs(sums - rest))])
     while at:
@@ -118,6 +145,7 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     total, target = int((rows["size"] * rows["n"]).sum()), float(rows["target"].iloc[0])
     whole = int(target // total) if total else 0
     budget = int(round(target - whole * total)) if total else 0
+    rows = rows.sort_values("size")
     picked = fit_counts(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), budget)
     return rows.assign(whole=whole, picked=picked)
 
