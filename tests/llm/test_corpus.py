@@ -424,6 +424,14 @@ def test_kth_largest(spark):
         ("<ul class='menu'><li>1<li>2<li>3</ul><div><h1>T</h1><p>long text here</p><div class=ad><p>x<p>x<p>x<p>x</div><p>more long text</p></div>", "T long text here more long text"),
         ("<div class='cookie-notice'>We use</div><style>p{}</style><!-- <p>no</p> --><p>yes &#233;&nbsp;&#x41;</p>", "yes é A"),
         ("<header>Site</header><main><article><header><h1>Head</h1></header><p>body</p><div class='share-buttons'>s</div></article></main>", "Head body"),
+        ("<div class='content has-sidebar'><h1>T</h1><p>body</p></div><footer><p>f f f f f f f f f f</footer>", "T body"),
+        ("<form action=x><nav>m</nav><h1>T</h1><p>body</p><div class=comments>" + "c " * 99 + "</div></form>", "T body"),
+        ("<div class='sidebar-layout'><article><p>body</p></article></div><div class=related><article>" + "r " * 9 + "</article></div>", "body"),
+        ("<div class='menu-page'><h1>T</h1><p>body</p><div class=footer>f</div></div>", "T body"),
+        ("<body><h1>Head</h1><div class=ad>x</div><div class=ad>y</div><div class=ad>z</div><p>" + "b " * 99 + "</p><p>c</p>", "Head " + "b " * 99 + "c"),
+        ("<div><div><a>Home</a></div><div><a>You</a></div><div><a>We</a></div></div><div><h1>T</h1><div>body <a>link</a> on</div></div>", "T body link on"),
+        ("<footer><p>only</footer><aside>these</aside>", ""), ("<div class=sidebar>" + "s " * 99 + "</div><p>body</p>", "body"),
+        ("<div class=menu><b>" * 20_000 + "x" * 50, ""), ("<div>" * 50_000 + "body" + "</div>" * 50_000, "body"),
     ],
 )
 def test_main_text(page, text):
