@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.keys import join_on
 from seriesloom.functions.columns import clipped
 from seriesloom.operators.features import with_trailing_mean
+from seriesloom.operators.gram import gram_of, per_key, solved, square
+from seriesloom.operators.keys import join_on
 from seriesloom.operators.metrics import mape_eps
 from seriesloom.session import cut_lineage
 from seriesloom.spec import SeriesSpec
@@ -114,16 +116,48 @@ def fit_residual(df: DataFrame, spec: SeriesSpec, kind: str = "linear", alpha: f
 def apply_residual(df: DataFrame, params: DataFrame, spec: SeriesSpec, name: str = "corrected") -> DataFrame:
     """Add the expected residual to the forecast; series without parameters stay as they are."""
     change = F.coalesce(F.col("slope") * F.col("yhat") + F.col("intercept"), F.lit(0.0))
-    joined = df.join(params.select(*spec.keys, "slope", "intercept"), list(spec.keys), "left")
+    joined = join_on(df, params.select(*spec.keys, "slope", "intercept"), spec.keys, "left")
     return joined.withColumn(name, F.col("yhat") + change).drop("slope", "intercept")
 
 
+def fit_step_residual(
+    windows: DataFrame, spec: SeriesSpec, inputs: list[str], steps: int, alpha: float = 0.0, phase: str | None = "val"
+) -> DataFrame:
+    """Residuals of all ``steps`` of a forecast from the ``inputs`` of its window: ``betas`` per step, intercept first.
+
+    One row per window with the arrays ``y_true`` and ``yhat``. All steps share one
+    matrix of inputs, so it is summed and factorised once per series. ``alpha``
+    penalises the slopes. Windows with a NULL are left out.
+    """
+    rows = windows if phase is None else windows.where(F.col("phase") == phase)
+    miss = F.zip_with("y_true", "yhat", lambda y, f: y - f)
+    size = 1 + len(inputs)
+    vector = F.concat(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in inputs]), miss)
+    ridge = np.diag([0.0] + [alpha] * len(inputs))
+
+    def solve(cells, n, row):
+        g = square(cells, size + steps)
+        return [{"betas": solved(g[:size, :size] + ridge, g[:size, size:]).T.tolist()}]
+
+    grams = gram_of(rows.where(F.size("y_true") == steps), list(spec.keys), vector, size + steps)
+    return cut_lineage(per_key(grams, list(spec.keys), "betas array<array<double>>", solve))
+
+
+def apply_step_residual(windows: DataFrame, params: DataFrame, spec: SeriesSpec, inputs: list[str], name: str = "corrected") -> DataFrame:
+    """Add the expected residual to each step's forecast; series without parameters stay as they are."""
+    joined = join_on(windows, params.select(*spec.keys, F.col("betas").alias("_betas")), spec.keys, "left")
+    row = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in inputs])
+    expected = F.transform("_betas", lambda b: F.aggregate(F.zip_with(b, row, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+    changed = F.zip_with("yhat", expected, lambda f, e: f + e)
+    return joined.withColumn(name, F.when(F.col("_betas").isNull(), F.col("yhat")).otherwise(changed)).drop("_betas")
+
+
 def keep_if_better(df: DataFrame, spec: SeriesSpec, by: list[str] | None = None) -> DataFrame:
     """Use ``corrected`` only where it lowers the relative error of its group, else keep the raw forecast."""
     by = by or list(spec.keys)
     scores = df.groupBy(*by).agg(mape_eps().alias("raw_mape"), mape_eps(yhat="corrected").alias("corrected_mape"))
     used = F.coalesce(F.col("corrected_mape") < F.col("raw_mape"), F.lit(True))
-    return df.join(cut_lineage(scores), by).withColumn("used", used).withColumn("final", F.when(F.col("used"), F.col("corrected")).otherwise(F.col("yhat")))
+    return join_on(df, cut_lineage(scores), by).withColumn("used", used).withColumn("final", F.when(F.col("used"), F.col("corrected")).otherwise(F.col("yhat")))
 
 
 def add_correction(df: DataFrame, correction: DataFrame, spec: SeriesSpec, name: str = "corrected") -> DataFrame:

@@ -11,8 +11,8 @@ from seriesloom.operators import features, metrics, scale
 from seriesloom.operators.gram import gram, regress
 from seriesloom.operators.models import ar, arma, delta, dispatch, forest, horizon, trend
 from seriesloom.operators.models.naive import naive_forecast
-from seriesloom.operators.post import fit_residual
-from seriesloom.operators.position import with_pos
+from seriesloom.operators.position import over_blocks, with_pos
+from seriesloom.operators.post import apply_step_residual, fit_residual, fit_step_residual
 from seriesloom.operators.split import phase_from_head
 from seriesloom.plans.frames import fixed_forecast, phased
 from seriesloom.plans.linear_sql import cells, inner, lags, least_squares, rss, shrunk, solution
@@ -439,6 +439,26 @@ def r_features(spark, folder):
     return rounded(out, 2, "corrected").select("series_id", "ts", "corrected")
 
 
+@query("r05_step_residual", """
+    WITH design AS (SELECT series_id, ts, pos, n, phase, value / 1e5 AS x1, lag(value, 6) OVER w / 1e5 AS x7, value AS last,
+        [lead(value, 1) OVER w, lead(value, 2) OVER w, lead(value, 3) OVER w] AS y FROM phased WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+    steps AS (SELECT *, y[h] AS y_true FROM design CROSS JOIN range(1, 4) r(h) WHERE pos >= 6 AND pos < n - 3),
+    fitted AS (SELECT series_id, h, [1, x1, x7, y_true - last] AS x FROM steps WHERE phase = 'val'),
+    """ + least_squares("fitted", "series_id, h", "r", "CASE WHEN i > 1 THEN 10 ELSE 0 END") + f"""
+    SELECT series_id, ts, h AS step, round(last + {inner('b', '[1, x1, x7]')}, 2) + 0.0 AS corrected
+    FROM steps JOIN r USING (series_id, h) WHERE phase = 'test'""", PHASED)
+def r_steps(spark, folder):
+    rows = over_blocks(
+        phased(spark, folder), PANEL,
+        lambda w: {"x7": F.lag("value", 6).over(w) / 1e5, "y_true": F.array(*[F.lead("value", h).over(w) for h in (1, 2, 3)])}, before=6, after=3,
+    )
+    rows = rows.where("pos >= 6 AND pos < n - 3").withColumns({"x1": F.col("value") / 1e5, "yhat": F.array_repeat("value", 3)})
+    params = fit_step_residual(rows, PANEL, ["x1", "x7"], 3, alpha=10.0)
+    out = apply_step_residual(rows.where("phase = 'test'"), params, PANEL, ["x1", "x7"])
+    steps = out.select("series_id", "ts", F.posexplode("corrected").alias("step", "corrected")).withColumn("step", F.col("step") + 1)
+    return steps.withColumn("corrected", F.round("corrected", 2) + 0.0)
+
+
 SEEN, AHEAD = 96, 24
 HORIZON = f"{SCALED} lists"
 
